@@ -133,7 +133,8 @@ def calculated_field(
     """Product and quotient first, then sums, over columns (or literals) of a wide frame.
 
     A missing factor or a zero divisor makes the whole result 0; missing addends are
-    skipped. Text that is not a number makes the result null.
+    skipped. The result is text with ``decimals`` digits, rounded from the exact binary
+    value (half to even); text that is not a number makes it null.
     """
     def value(term: str | float) -> Column:
         return F.col(term).cast("string") if isinstance(term, str) else F.lit(str(float(term)))
@@ -163,9 +164,11 @@ def calculated_field(
             result = result + F.lit(sign) * F.when(missing(t), 0.0).otherwise(number(t))
     inputs = [t for t in terms if isinstance(t, str)]
     nothing = reduce(lambda a, b: a & b, [F.col(t).isNull() for t in inputs], F.lit(bool(inputs)))
-    return (
+    result = (
         F.when(nothing, 0.0)
         .when(unreadable, F.lit(None).cast("double"))
         .when(F.coalesce(incomplete, F.lit(False)), 0.0)
-        .otherwise(F.round(result, decimals))
+        .otherwise(result)
     )
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", result, F.lit(pattern))

@@ -180,17 +180,22 @@ def section_totals(
 ) -> DataFrame:
     """Signed sums per section, per heading and for the derived result.
 
-    One aggregate per submission over all sections; the lines are unfolded afterwards.
-    A section without accounts counts as 0, and a zero line is shown as null.
+    One aggregate per submission over all sections, in whole cents so that the sums are
+    plain longs; the lines are unfolded afterwards. A section without accounts counts as
+    0, and a zero line is shown as null.
     """
     _, name = section_columns(sections, F.col("account"))
-    amount = F.coalesce(F.col("amount").cast("decimal(38,2)"), F.lit(0))
+    cents = (F.col("amount").cast("decimal(30,2)") * 100).cast("bigint")
+    amount = F.coalesce(cents, F.lit(0).cast("bigint"))
     signed = F.when(F.col("account").isin(list(contra)), -amount).otherwise(amount)
-    rows = ledger.select(*keys, name.alias("__s"), signed.alias("__v")).where("__s is not null")
-    sums = rows.groupBy(*keys).agg(*[
-        F.coalesce(F.sum(F.when(F.col("__s") == s.name, F.col("__v"))), F.lit(0)).alias(f"__{i}")
-        for i, s in enumerate(sections)
-    ])
+    rows = ledger.select(*keys, name.alias("__s"), signed.alias("__v"))
+    sums = rows.groupBy(*keys).agg(
+        F.count("__s").alias("__n"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("__s") == s.name, F.col("__v"))), F.lit(0)).alias(f"__{i}")
+            for i, s in enumerate(sections)
+        ],
+    ).where("__n > 0")
     plus = lambda cols: reduce(lambda a, b: a + b, cols)
     column = {s.name: F.col(f"__{i}") for i, s in enumerate(sections)}
     headings = list(dict.fromkeys(s.heading for s in sections))
@@ -204,7 +209,7 @@ def section_totals(
     unfolded = F.inline(F.array(*[
         F.struct(
             F.lit(kind).alias("kind"), F.lit(h).alias("heading"), F.lit(n).alias("section"),
-            F.nullif(v.cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)")).alias("amount"),
+            F.when(v != 0, (v.cast("decimal(20,0)") / 100).cast("decimal(38,2)")).alias("amount"),
         )
         for kind, h, n, v in lines
     ]))

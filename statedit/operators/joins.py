@@ -159,6 +159,22 @@ def assign_section(ledger: DataFrame, sections: Sequence[Section]) -> DataFrame:
     return ledger.withColumn("heading", heading).withColumn("section", name).where("section is not null")
 
 
+def resolve_name(
+    obs: DataFrame, mapping: DataFrame, match: str = "variable", result: str = "path",
+    variable: str = "variable", keys: Sequence[str] = ("period", "form"),
+) -> DataFrame:
+    """Add the long ``name`` of each variable, or its short name where the mapping has none.
+
+    ``match`` and ``result`` name the columns of the mapping; of several rows for one
+    variable the first in text order counts.
+    """
+    long = mapping.groupBy(*keys, F.col(match).alias(variable)).agg(F.min(result).alias("__long"))
+    return (
+        obs.join(long, [*keys, variable], "left")
+        .withColumn("name", F.coalesce("__long", variable)).drop("__long")
+    )
+
+
 def region_values(data: DataFrame, regions: DataFrame) -> DataFrame:
     """Values of known regions, with the attributes of the region."""
     require_columns(data, ["region", "value"])
