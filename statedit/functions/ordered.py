@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every value of a group in one buffer, and a window ordered over a
 group sorts the group in one task. Neither survives a group with a third of all rows,
-so both are done in two levels here: a sketch (or a caller's coarse bucket) splits the
-group, and only counts travel between the levels.
+so both are done in two levels here: a sketch splits the group, and only counts travel
+between the levels.
 """
 
 from __future__ import annotations
@@ -96,48 +96,47 @@ def exact_quantiles(
 
 
 def running_total(
-    df: DataFrame, by: Sequence[str], order: str, amount: str, bucket: Column, out: str = "running"
+    df: DataFrame, by: Sequence[str], key: Column, amount: str, out: str = "running", buckets: int = 256
 ) -> DataFrame:
-    """Running sum of ``amount`` along ``order`` within ``by``.
+    """Running sum of ``amount`` along the numeric ``key`` within ``by``; null keys come last.
 
-    ``bucket`` must grow with ``order``. Each bucket is summed on its own; the total of
-    the earlier buckets comes from a table with one row per bucket.
+    ``df`` must be unique on (``by``, ``key``). A sketch cuts each group into buckets of
+    about equal size; every bucket is summed on its own, and what the earlier ones hold
+    comes from a table with one row per bucket. The sketches are computed right away.
     """
-    rows = df.withColumn("__b", bucket)
-    per_bucket = rows.groupBy(*by, "__b").agg(F.sum(amount).alias("__t"))
-    offsets = per_bucket.select(
-        *by,
-        "__b",
+    rows = df.withColumn("__k", key)
+    splits = settle(rows.groupBy(*by).agg(
+        F.percentile_approx("__k", [i / buckets for i in range(1, buckets)], 10_000).alias("__s")
+    ), row_bytes=8 * buckets)
+    passed = F.aggregate(
+        "__s", F.lit(0), lambda n, s: n + F.when(s < F.col("__k"), 1).otherwise(0)
+    )
+    bucketed = attach(rows, splits, by).withColumn(
+        "__b", F.when(F.col("__k").isNull(), F.lit(buckets)).otherwise(passed)
+    ).drop("__s")
+    offsets = bucketed.groupBy(*by, "__b").agg(F.sum(amount).alias("__t")).select(
+        *by, "__b",
         F.coalesce(
             F.sum("__t").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(*BEFORE)), F.lit(0)
         ).alias("__o"),
     )
-    local = rows.withColumn(
-        "__l", F.sum(amount).over(Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(*UPTO))
-    )
+    along = Window.partitionBy(*by, "__b").orderBy("__k").rowsBetween(*UPTO)
+    local = bucketed.withColumn("__l", F.sum(amount).over(along))
     return (
         null_safe_join(local, offsets, [*by, "__b"], "inner")
         .withColumn(out, F.col("__o") + F.col("__l"))
-        .drop("__b", "__o", "__l")
+        .drop("__k", "__b", "__o", "__l")
     )
 
 
-def rank_within(df: DataFrame, by: Sequence[str], order: Column, out: str = "rank", buckets: int = 256) -> DataFrame:
+def rank_within(df: DataFrame, by: Sequence[str], order: Column, out: str = "rank") -> DataFrame:
     """``rank() over (partition by by order by order)`` without one task per group.
 
-    Rows are first reduced to counts per distinct value; those are bucketed by sketch
-    and summed with ``running_total``. Nulls rank last. The input is read twice.
+    Rows are first reduced to counts per distinct value, the counts are summed with
+    ``running_total``, and the ranks are joined back. Nulls rank last.
     """
     rows = df.withColumn("__v", order.cast("double"))
     counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
-    splits = settle(counts.groupBy(*by).agg(
-        F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10_000).alias("__s")
-    ), row_bytes=8 * buckets)
-    above = F.aggregate(
-        F.coalesce(F.col("__s"), F.array().cast("array<double>")), F.lit(0),
-        lambda n, s: n + F.when(s < F.col("__v"), 1).otherwise(0),
-    )
-    bucket = F.when(F.col("__v").isNull(), F.lit(buckets)).otherwise(above)
-    total = running_total(attach(counts, splits, by), by, "__v", "__c", bucket, "__run")
+    total = running_total(counts, by, F.col("__v"), "__c", "__run")
     ranks = total.select(*by, "__v", (F.col("__run") - F.col("__c") + 1).alias(out))
     return null_safe_join(rows, ranks, [*by, "__v"], "inner").drop("__v")

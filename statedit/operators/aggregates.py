@@ -65,8 +65,10 @@ def period_totals(
     """
     periods = [period, period - 1]
     latest = latest_active_per_period(receipts, form, {"period": periods})
-    rows = responses_in(obs.where(F.col("period").isin(periods)), latest)
-    values = keep_numeric_variables(rows, types).withColumn("__v", coerce_numeric("value"))
+    # Narrow rows before the semi join: it is the one shuffle of the observations.
+    numeric = keep_numeric_variables(obs.where(F.col("period").isin(periods)), types)
+    narrow = numeric.select("ref", "period", "variable", coerce_numeric("value").alias("__v"))
+    values = responses_in(narrow, latest)
     totals = values.groupBy("variable").agg(
         *[F.sum(F.when(F.col("period") == p, F.col("__v"))).alias(str(p)) for p in periods]
     )
@@ -161,13 +163,22 @@ def daily_receipts(receipts: DataFrame) -> DataFrame:
 
 
 def cumulative_receipts(receipts: DataFrame, units: DataFrame) -> DataFrame:
-    """Units by the time of their latest receipt, running total, and share of the frame."""
+    """Units by the time of their latest receipt, running total, and share of the frame.
+
+    Most of a survey may come in on the last day, so the running total is cut by the
+    receipts themselves and not by the calendar.
+    """
     latest = receipts.where(F.col("received_at").isNotNull()).groupBy("unit").agg(
         F.max("received_at").alias("received_at")
     )
     per_time = latest.groupBy("received_at").agg(F.count("*").alias("n"))
     frame = units.agg(F.count("*").alias("n_frame"))
-    run = running_total(per_time, [], "received_at", "n", F.to_date("received_at"), "cumulative")
+    zoneless = dict(per_time.dtypes)["received_at"] == "timestamp_ntz"
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = (
+        F.timestamp_diff("MICROSECOND", epoch, "received_at") if zoneless else F.unix_micros("received_at")
+    )
+    run = running_total(per_time, [], micros, "n", "cumulative")
     return attach(run, frame, []).select(
         "received_at", "n", "cumulative", "n_frame",
         (F.col("cumulative") * 100.0 / F.col("n_frame")).alias("share"),

@@ -13,6 +13,7 @@ from ..functions.columns import datatype_status, local_seconds
 from ..functions.frames import null_safe_join
 from ..functions.ordered import UPTO
 from ..schema import INITIAL_LOAD, IN_PROGRESS, UNTREATED
+from ..scratch import settle
 from .quality import check_column_names, require_unique
 
 # How a missing value is written in a log, and an export not done yet.
@@ -110,7 +111,7 @@ def replay_log(
     base: DataFrame, log: DataFrame, id_vars: Sequence[str], variables: Sequence[str] | None = None,
     chunk: str = "hour",
 ) -> tuple[DataFrame, DataFrame]:
-    """Replay a change log: ``(edited, problems)``, both lazy.
+    """Replay a change log: ``(edited, problems)``.
 
     Edits apply in order of ``change_datetime`` and then ``seq``. An edit takes effect
     when its old value equals the cell; a logged old value of ``None`` fills a null cell
@@ -120,8 +121,8 @@ def replay_log(
 
     The edits of a cell are never collected. They are folded by window within time
     chunks, and the chunks by a second window, so a cell with very many edits is spread
-    over tasks. Only the keys of edited rows meet the base, whose other rows pass a left
-    join on the final values.
+    over tasks. The final values per edited row are computed right away; while they are
+    few enough to broadcast, the base is read without a shuffle.
     """
     id_vars = list(id_vars)
     names = [c for c in base.columns if c not in id_vars] if variables is None else list(variables)
@@ -167,9 +168,9 @@ def replay_log(
 
 
 def _apply_final(base: DataFrame, keyed: DataFrame, final: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    updates = final.groupBy(*keys).agg(*[
+    updates = settle(final.groupBy(*keys).agg(*[
         F.max(F.when(F.col("variable") == n, F.col("__f"))).alias(f"__u_{n}") for n in names
-    ])
+    ]), row_bytes=64 * (len(keys) + len(names)))
     joined = keyed.join(updates, list(keys), "left")
 
     def merged(n: str) -> Column:
@@ -200,7 +201,7 @@ def _problems(
     badly_written = report(typed.where(kind.isNotNull()), kind)
 
     # Only base rows that some edit names are grouped.
-    touched = typed.select(*keys).distinct()
+    touched = settle(typed.select(*keys).distinct(), row_bytes=64 * len(keys))
     found = keyed.join(touched, list(keys), "left_semi")
     cells = F.struct(*[F.col(n).cast("string").alias(n) for n in names])
     per_key = found.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(cells).alias("__cells"))
@@ -301,7 +302,7 @@ def edit_outcomes(
     """Judge a batch of edits ``(locate..., variable, old_value, value)``.
 
     Adds ``outcome`` (``updated``, ``inserted``, ``unchanged``, ``rejected``) and
-    ``reason``. A batch holds one edit per cell; several for one cell are rejected, as
+    ``reason``. The keys of the edits are computed right away. A batch holds one edit per cell; several for one cell are rejected, as
     their order is not known (that is what a change log is for).
     """
     key = [*locate, "variable"]
@@ -310,9 +311,11 @@ def edit_outcomes(
     else:
         columns = [c for c in table.columns if c not in locate]
         text = table.select(*locate, *[F.col(c).cast("string").alias(c) for c in columns])
-        wanted = edits.select(*locate).distinct()
-        current = text.join(wanted, list(locate), "left_semi").unpivot(list(locate), columns, "variable", "__now")
-    touched = current.join(edits.select(*key).distinct(), key, "left_semi")
+        rows = settle(edits.select(*locate).distinct(), row_bytes=64 * len(locate))
+        current = text.join(rows, list(locate), "left_semi").unpivot(list(locate), columns, "variable", "__now")
+    # Edits are few beside the table: their keys are broadcast, and the table stays in place.
+    wanted = settle(edits.select(*key).distinct(), row_bytes=64 * len(key))
+    touched = current.join(wanted, key, "left_semi")
     found = touched.groupBy(*key).agg(F.count("*").alias("__n"), F.first("__now").alias("__now"))
     repeats = edits.groupBy(*key).agg(F.count("*").alias("__edits"))
     joined = edits.join(repeats, key).join(found, key, "left")
@@ -341,10 +344,11 @@ def edit_values(
     table: DataFrame, edits: DataFrame, locate: Sequence[str], types: DataFrame | None = None,
     long: bool = True, check_old: bool = True, insert_missing: bool = False,
 ) -> DataFrame:
-    """The table after the accepted edits of a batch; see ``edit_outcomes``."""
+    """The table after the accepted edits of a batch; see ``edit_outcomes``. Runs a job."""
     key = [*locate, "variable"]
     judged = edit_outcomes(table, edits, locate, types, long, check_old, insert_missing)
-    accepted = judged.where(F.col("outcome").isin("updated", "inserted"))
+    # The batch is judged once; as a small table it is then broadcast to the large one.
+    accepted = settle(judged.where(F.col("outcome").isin("updated", "inserted")))
     if long:
         new = accepted.where(F.col("outcome") == "updated").select(
             *key, F.col("value").alias("__new"), F.lit(True).alias("__e")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,21 +115,32 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def write_partitioned(
     df: DataFrame, path: str, table: str, periods: Sequence[str] = ("period",), mode: str = "errorifexists",
-    schema: T.StructType | None = None, spread: Column | None = None,
+    schema: T.StructType | None = None,
 ) -> None:
     """Write a core table in its storage layout.
 
-    Rows are shuffled by partition columns and ``spread`` (a hash of the row by
-    default, 32 ways), so each folder gets few files and the largest period is not
-    written by one task.
+    The rebalance hint lets AQE gather small folders into few files and split a folder
+    that holds most rows over many tasks.
     """
-    schema = schema or core_schemas(periods)[table]
     folders = partition_columns(table, periods)
-    rows = conform(df, schema)
-    salt = spread if spread is not None else F.pmod(F.xxhash64(*rows.columns), F.lit(32))
+    rows = conform(df, schema or core_schemas(periods)[table])
+    rows.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).parquet(path)
+
+
+def save_bucketed(
+    df: DataFrame, name: str, table: str, buckets: int, key: str = "ref",
+    periods: Sequence[str] = ("period",), mode: str = "errorifexists",
+) -> None:
+    """Save a core table in the catalog, bucketed and sorted by ``key`` inside its folders.
+
+    Semi joins and joins on ``key`` (such as ``responses_in``) then read the large table
+    without a shuffle; only the small side is exchanged. Choose ``buckets`` so that one
+    bucket of one folder fits a task.
+    """
+    rows = conform(df, core_schemas(periods)[table])
     (
-        rows.withColumn("__s", salt).repartition(*folders, "__s").drop("__s")
-        .write.mode(mode).partitionBy(*folders).parquet(path)
+        rows.repartition(buckets, key).write.mode(mode).partitionBy(*partition_columns(table, periods))
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     )
 
 
