@@ -126,7 +126,9 @@ def replay_log(
     """
     id_vars = list(id_vars)
     names = [c for c in base.columns if c not in id_vars] if variables is None else list(variables)
-    names = [n for n in names if n in base.columns]
+    names = [n for n in names if n in base.columns and n not in id_vars]
+    if not names:
+        raise ValueError("No column that the log may change.")
     keys = [f"__k_{v}" for v in id_vars]
     cell = [*keys, "variable"]
     details = F.col("change_details")
@@ -231,10 +233,10 @@ def apply_log(
     variables = [
         r[0] for r in log.select(F.col("change_details.old_value")[0]["variable_name"]).distinct().collect()
     ]
-    edited, problems = replay_log(base, log, id_vars, variables)
     unknown = [v for v in variables if v not in base.columns]
     if unknown:
         raise ValueError(f"The log changes columns the table does not have: {unknown}")
+    edited, problems = replay_log(base, log, id_vars, variables)
     examples = problems.orderBy("change_datetime").take(5)
     if examples:
         raise ValueError(f"The log cannot be applied, for example: {[r.asDict() for r in examples]}")

@@ -61,14 +61,13 @@ def read_parquet_checked(spark: SparkSession, path: str, id_vars: Sequence[str],
 
 
 def read_delimited(
-    spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType, sep: str = ";", header: bool = True
+    spark: SparkSession, paths: str | Sequence[str], schema: str, sep: str = ";", header: bool = True
 ) -> DataFrame:
-    """One or more delimited files with one schema; a quoted empty string stays empty, not null."""
-    return (
-        spark.read.schema(schema)
-        .options(sep=sep, header=header, emptyValue="", nullValue="\u0000", enforceSchema=False)
-        .csv([paths] if isinstance(paths, str) else list(paths))
+    """One or more delimited files with one schema; empty text stays empty and is never null."""
+    raw = spark.read.schema(schema).options(sep=sep, header=header, enforceSchema=False).csv(
+        [paths] if isinstance(paths, str) else list(paths)
     )
+    return raw.fillna("")
 
 
 @dataclass(frozen=True)
