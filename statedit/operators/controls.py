@@ -250,16 +250,17 @@ def large_change(ctx: ControlContext) -> DataFrame:
     both = {**rest, "period": [period, period - 1]}
     obs = ctx.table("observations").where(matches({**both, "variable": variable}))
     latest = latest_active_per_period(ctx.table("receipts"), filters=both)
-    rows = responses_in(obs, latest).withColumn("__v", F.col("value").try_cast("double"))
-    now = rows.where(F.col("period") == period).select("period", "form", "unit", "ref", F.col("__v").alias("__cur"))
-    then = rows.where(F.col("period") == period - 1).select("unit", F.col("__v").alias("__prev"))
+    narrow = obs.select("period", "form", "unit", "ref", F.col("value").try_cast("double").alias("__v"))
+    # A unit has one response per period now, so one aggregate sets them side by side.
+    now, v = F.col("period") == period, F.col("__v")
+    pairs = responses_in(narrow, latest).groupBy("unit").agg(
+        F.max(F.when(now, F.struct("form", "ref"))).alias("__r"),
+        F.max(F.when(now, v)).alias("__cur"), F.max(F.when(~now, v)).alias("__prev"),
+    )
     percent = change("__cur", "__prev") / F.col("__prev") * 100
-    return (
-        now.join(then, "unit").where("__cur > 0 and __prev > 0")
-        .select(
-            "period", "form", "unit", "ref", (F.abs(percent) > limit).alias("hit"),
-            percent.try_cast("int").alias("value"),
-        )
+    return pairs.where("__cur > 0 and __prev > 0").select(
+        F.lit(period).alias("period"), "__r.form", "unit", "__r.ref", (F.abs(percent) > limit).alias("hit"),
+        percent.try_cast("int").alias("value"),
     )
 
 

@@ -13,7 +13,7 @@ from ..functions.columns import datatype_status, local_seconds
 from ..functions.frames import null_safe_join
 from ..functions.ordered import UPTO
 from ..schema import INITIAL_LOAD, IN_PROGRESS, UNTREATED
-from ..scratch import settle
+from ..scratch import materialize, settle
 from .quality import check_column_names, require_unique
 
 # How a missing value is written in a log, and an export not done yet.
@@ -121,8 +121,8 @@ def replay_log(
 
     The edits of a cell are never collected. They are folded by window within time
     chunks, and the chunks by a second window, so a cell with very many edits is spread
-    over tasks. The final values per edited row are computed right away; while they are
-    few enough to broadcast, the base is read without a shuffle.
+    over tasks. The log is worked out right away; while the edited rows are few enough
+    to broadcast, the base is read without a shuffle.
     """
     id_vars = list(id_vars)
     names = [c for c in base.columns if c not in id_vars] if variables is None else list(variables)
@@ -149,7 +149,8 @@ def replay_log(
         (F.col("old_raw") != NONE).alias("sets"),
         F.date_trunc(chunk, "t").alias("chunk"),
     )
-    steps = _state_columns(typed, [*cell, "chunk"], ["t", "pos"], "sets", "new")
+    # The log is used by every step below and is small beside the base: work it out once.
+    steps = materialize(_state_columns(typed, [*cell, "chunk"], ["t", "pos"], "sets", "new"))
 
     last = F.max_by(F.struct((F.col("__seg") > 0).alias("s"), F.col("__after").alias("v")), F.struct("t", "pos"))
     chunks = steps.groupBy(*cell, "chunk").agg(last.alias("__c")).select(
@@ -162,7 +163,7 @@ def replay_log(
 
     keyed = base.select("*", *[F.col(v).cast("string").alias(k) for v, k in zip(id_vars, keys)])
     edited = _apply_final(base, keyed, final, names, keys)
-    problems = _problems(keyed, typed, steps, folded, names, keys, cell)
+    problems = _problems(keyed, steps, folded, names, keys, cell)
     return edited, problems.select(
         *[F.col(k).alias(v) for k, v in zip(keys, id_vars)], "variable", "change_datetime", "problem",
         "expected", "found",
@@ -186,7 +187,7 @@ def _apply_final(base: DataFrame, keyed: DataFrame, final: DataFrame, names: Seq
 
 
 def _problems(
-    keyed: DataFrame, typed: DataFrame, steps: DataFrame, folded: DataFrame, names: Sequence[str],
+    keyed: DataFrame, steps: DataFrame, folded: DataFrame, names: Sequence[str],
     keys: Sequence[str], cell: Sequence[str],
 ) -> DataFrame:
     def report(df: DataFrame, problem: Column, expected: str = "old_raw", found: str | None = None) -> DataFrame:
@@ -200,10 +201,10 @@ def _problems(
         (F.col("sets") & F.col("old").isNull()) | ((F.col("new_raw") != NONE) & F.col("new").isNull())
     )
     kind = F.when(~F.col("variable").isin(*names), "unknown_variable").when(unreadable, "bad_value")
-    badly_written = report(typed.where(kind.isNotNull()), kind)
+    badly_written = report(steps.where(kind.isNotNull()), kind)
 
     # Only base rows that some edit names are grouped.
-    touched = settle(typed.select(*keys).distinct(), row_bytes=64 * len(keys))
+    touched = settle(steps.select(*keys).distinct(), row_bytes=64 * len(keys))
     found = keyed.join(touched, list(keys), "left_semi")
     cells = F.struct(*[F.col(n).cast("string").alias(n) for n in names])
     per_key = found.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(cells).alias("__cells"))
@@ -304,10 +305,11 @@ def edit_outcomes(
     """Judge a batch of edits ``(locate..., variable, old_value, value)``.
 
     Adds ``outcome`` (``updated``, ``inserted``, ``unchanged``, ``rejected``) and
-    ``reason``. The keys of the edits are computed right away. A batch holds one edit per cell; several for one cell are rejected, as
+    ``reason``. The batch is computed right away. It holds one edit per cell; several for one cell are rejected, as
     their order is not known (that is what a change log is for).
     """
     key = [*locate, "variable"]
+    edits = materialize(edits)
     if long:
         current = table.select(*key, F.col("value").cast("string").alias("__now"))
     else:

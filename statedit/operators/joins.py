@@ -185,13 +185,17 @@ def region_values(data: DataFrame, regions: DataFrame) -> DataFrame:
 def year_change(obs: DataFrame, receipts: DataFrame, period: int) -> DataFrame:
     """Values of every response beside those of the unit's response one period earlier."""
     links = link_periods(receipts, {"period": period}, {"period": period - 1})
-    rows = obs.where(F.col("period").isin(period, period - 1)).select("ref", "variable", "value")
-    now = rows.join(links, F.col("ref") == F.col("current")).select("unit", "variable", "value")
-    then = rows.join(links, F.col("ref") == F.col("previous")).select(
-        "unit", "variable", F.col("value").alias("previous_value")
+    sides = links.select("unit", F.inline(F.array(
+        F.struct(F.lit(True).alias("now"), F.col("current").alias("ref")),
+        F.struct(F.lit(False).alias("now"), F.col("previous").alias("ref")),
+    ))).where("ref is not null")
+    rows = obs.where(F.col("period").isin(period, period - 1)).select("ref", "variable", "value").join(sides, "ref")
+    pairs = rows.groupBy("unit", "variable").agg(
+        F.max(F.when(F.col("now"), F.col("value"))).alias("value"),
+        F.max(F.when(~F.col("now"), F.col("value"))).alias("previous_value"),
     )
     cur, prev = F.col("value").try_cast("double"), F.col("previous_value").try_cast("double")
-    return now.join(then, ["unit", "variable"], "full_outer").select(
+    return pairs.select(
         "unit", "variable", "value", "previous_value",
         change(cur, prev).alias("diff"), percent_change(cur, prev).alias("pdiff"),
     )

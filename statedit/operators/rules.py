@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import matches
 from ..scratch import small_table
 
 RULE_SCHEMA = (
     "control_id string, theme string, category string, description string, "
-    "threshold decimal(38,2), account string, coef int"
+    "threshold double, account string, coef int"
 )
 
 
@@ -43,7 +43,7 @@ def rule_terms(spark: SparkSession, rules: Sequence[SumRule]) -> DataFrame:
         for account, sign in r.terms:
             coefs[account] = coefs.get(account, 0) - sign
         rows += [
-            (r.control_id, r.theme, r.category, r.description, Decimal(str(r.threshold)), a, c)
+            (r.control_id, r.theme, r.category, r.description, float(r.threshold), a, c)
             for a, c in coefs.items()
         ]
     return small_table(spark, rows, RULE_SCHEMA)
@@ -55,7 +55,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.schema(
         "control_id string, theme string, category string, description string, lhs string, "
-        "threshold decimal(38,2), terms array<struct<account: string, sign: int>>"
+        "threshold double, terms array<struct<account: string, sign: int>>"
     ).json(path)
     sides = F.concat(
         F.array(F.struct(F.col("lhs").alias("account"), F.lit(1).alias("coef"))),
@@ -80,9 +80,17 @@ def section_rule(
     )
 
 
-def numeric_amount(column: str = "amount"):
-    """Amount as a decimal; missing or unreadable counts as 0."""
-    return F.coalesce(F.trim(F.col(column).cast("string")).try_cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
+def cents(df: DataFrame, column: str = "amount") -> Column:
+    """Amount in whole cents; missing or unreadable text counts as 0.
+
+    Longs keep the sums in the hash aggregate's fast path. An amount beyond
+    9e16 fails the job instead of being counted wrong.
+    """
+    amount = F.col(column)
+    if df.schema[column].dataType == T.StringType():
+        amount = F.trim(amount).try_cast("decimal(38,2)")
+    amount = F.coalesce(amount.cast("decimal(36,2)"), F.lit(0).cast("decimal(36,2)"))
+    return (amount * 100).cast("bigint")
 
 
 def evaluate_sum_rules(ledger: DataFrame, rules: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -95,14 +103,15 @@ def evaluate_sum_rules(ledger: DataFrame, rules: DataFrame, scope: DataFrame | N
     rows = ledger if scope is None else ledger.join(scope.select("seq"), "seq", "left_semi")
     # A theme on both sides keeps rules of one statement away from the other's ledger.
     on = ["account", "theme"] if "theme" in ledger.columns and "theme" in rules.columns else ["account"]
-    signed = rows.select(*[c for c in (*on, "seq")], numeric_amount().alias("__a")).join(
+    signed = rows.select(*on, "seq", cents(rows).alias("__a")).join(
         rules.select(*on, "control_id", "threshold", "coef"), on
     )
-    diff = signed.groupBy("seq", "control_id", "threshold").agg(
-        F.sum(F.col("__a") * F.col("coef")).cast("decimal(38,2)").alias("diff")
+    diff = signed.groupBy("seq", "control_id").agg(
+        F.sum(F.col("__a") * F.col("coef")).alias("diff"),
+        (F.max("threshold") * 100).alias("limit"),
     )
-    return diff.where(F.abs("diff") > F.col("threshold")).select(
-        "control_id", "seq", F.lit(True).alias("hit"), F.col("diff").cast("double").alias("value")
+    return diff.where(F.abs("diff") > F.col("limit")).select(
+        "control_id", "seq", F.lit(True).alias("hit"), (F.col("diff") / 100.0).alias("value")
     )
 
 

@@ -8,7 +8,7 @@ from ..operators import filters as FL
 from ..operators import joins as J
 from ..operators import latest as L
 from ..operators import quality as Q
-from ..scratch import small_table
+from ..scratch import materialize, small_table
 from .registry import query
 
 # --- filters ---------------------------------------------------------------------------
@@ -424,7 +424,8 @@ def top_hits(v):
 
 def _directed_hits(v):
     direction = F.when(F.col("value") > 0, "up").otherwise("down")
-    hits = all_change_hits(v).withColumn("control_id", direction)
+    # Hits are a stored table in practice; here they are derived, so store them once.
+    hits = materialize(all_change_hits(v).withColumn("control_id", direction))
     controls = hits.select("control_id").distinct().withColumn(
         "sort_order", F.when(F.col("control_id") == "down", "ASC").otherwise("DESC")
     )

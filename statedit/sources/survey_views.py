@@ -5,7 +5,7 @@ All views are lazy selects over the given Parquet tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FINISHED, IN_PROGRESS, INITIAL_LOAD, UNTREATED
@@ -14,6 +14,12 @@ from ..scratch import small_table
 VARIABLES = (("quantity", "int", 1), ("price", "number", 2), ("lines", "integer", 3), ("flag", "string", 4))
 
 
+def _cents(column: str) -> Column:
+    """Sum of an amount with two decimals, added up in whole cents: longs, not decimals."""
+    total = F.sum(F.round(F.col(column) * 100).cast("bigint"))
+    return (total.cast("decimal(20,0)") / 100).cast("decimal(38,2)")
+
+
 class SurveyViews:
     """The views over one folder of source tables."""
 
@@ -57,9 +63,11 @@ class SurveyViews:
     def observations_wide(self) -> DataFrame:
         """One row per response with its values as text columns."""
         per_order = self.source("lineitem").groupBy("l_orderkey").agg(
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(38,2)").cast("string").alias("quantity"),
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(38,2)").cast("string").alias("price"),
-            F.count("*").cast("string").alias("lines"), F.max("l_returnflag").alias("flag"),
+            _cents("l_quantity").cast("string").alias("quantity"),
+            _cents("l_extendedprice").cast("string").alias("price"),
+            F.count("*").cast("string").alias("lines"),
+            # The largest of one-letter flags, by code: a number keeps the aggregate hash-based.
+            F.char(F.max(F.ascii("l_returnflag"))).alias("flag"),
         )
         orders = self.source("orders").select(
             F.year("o_orderdate").alias("period"), F.col("o_orderpriority").alias("form"),
@@ -81,7 +89,7 @@ class SurveyViews:
     def ledger(self) -> DataFrame:
         """Line amounts by line number as accounts, beside the stated total."""
         lines = self.source("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("amount")
+            _cents("l_extendedprice").alias("amount")
         ).select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").cast("string").alias("account"), "amount")
         totals = self.source("orders").select(
             F.col("o_orderkey").alias("seq"), F.lit("total").alias("account"),
@@ -94,7 +102,7 @@ class SurveyViews:
         code = F.lit(1000) + (F.col("l_partkey") * 37) % 8000
         return self.source("lineitem").groupBy(
             F.col("l_orderkey").alias("seq"), code.cast("string").alias("account")
-        ).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("amount"))
+        ).agg(_cents("l_extendedprice").alias("amount"))
 
     def versions(self) -> DataFrame:
         return self.source("orders").select(
