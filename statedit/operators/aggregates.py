@@ -181,7 +181,7 @@ def cumulative_receipts(receipts: DataFrame, units: DataFrame) -> DataFrame:
     run = running_total(per_time, [], micros, "n", "cumulative")
     return attach(run, frame, []).select(
         "received_at", "n", "cumulative", "n_frame",
-        (F.col("cumulative") * 100.0 / F.col("n_frame")).alias("share"),
+        F.try_divide(F.col("cumulative") * 100.0, F.col("n_frame")).alias("share"),
     )
 
 

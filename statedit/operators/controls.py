@@ -257,7 +257,8 @@ def large_change(ctx: ControlContext) -> DataFrame:
         F.max(F.when(now, F.struct("form", "ref"))).alias("__r"),
         F.max(F.when(now, v)).alias("__cur"), F.max(F.when(~now, v)).alias("__prev"),
     )
-    percent = change("__cur", "__prev") / F.col("__prev") * 100
+    # Filters may be reordered, so the division must stand a zero that a filter excludes.
+    percent = F.try_divide(change("__cur", "__prev"), F.col("__prev")) * 100
     return pairs.where("__cur > 0 and __prev > 0").select(
         F.lit(period).alias("period"), "__r.form", "unit", "__r.ref", (F.abs(percent) > limit).alias("hit"),
         percent.try_cast("int").alias("value"),

@@ -38,13 +38,14 @@ def hb_outliers(
     flagged = attach(base, share, strata).withColumn(
         "__in", F.coalesce(positive & ((F.col("x1") != F.col("x2")) | keep_equal), F.lit(False))
     ).drop("__n", "__eq")
-    ratio = F.col("x1") / F.col("x2")
+    # Filters may be reordered, so no division here may raise on an untested unit.
+    ratio = F.try_divide("x1", "x2")
     tested = flagged.where("__in").withColumn("ratio", ratio)
     medians = settle(exact_quantiles(tested, strata, "ratio", {"__rm": 0.5}, accuracy).drop("n"))
 
     def scored(rows: DataFrame) -> DataFrame:
-        s = F.when(F.col("ratio") < F.col("__rm"), 1 - F.col("__rm") / F.col("ratio")).otherwise(
-            F.col("ratio") / F.col("__rm") - 1
+        s = F.when(F.col("ratio") < F.col("__rm"), 1 - F.try_divide("__rm", "ratio")).otherwise(
+            F.try_divide("ratio", "__rm") - 1
         )
         max_x = F.greatest("x1", "x2")
         return (
@@ -60,8 +61,8 @@ def hb_outliers(
     high = F.col("__q2") + p_c * F.greatest(F.col("__q3") - F.col("__q2"), floor_d)
 
     def as_ratio(limit):
-        u = limit / F.col("__w")
-        return F.when(u >= 0, F.col("__rm") * (1 + u)).otherwise(F.col("__rm") / (1 - u))
+        u = F.try_divide(limit, F.col("__w"))
+        return F.when(u >= 0, F.col("__rm") * (1 + u)).otherwise(F.try_divide(F.col("__rm"), 1 - u))
 
     judged = attach(scored(tested), quartiles, strata).select(
         "id", *strata, "x1", "x2", "ratio", "max_x", as_ratio(low).alias("lower_limit"),

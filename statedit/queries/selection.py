@@ -266,10 +266,10 @@ def all_change_hits(v):
     rows = J.responses_in(v.observations().where("variable = 'price'"), L.latest_active_per_period(v.receipts()))
     rows = rows.withColumn("x", F.col("value").cast("double"))
     prev = rows.select("unit", (F.col("period") + 1).alias("period"), F.col("x").alias("y"))
-    percent = (F.col("x") - F.col("y")) / F.col("y") * 100
+    percent = F.try_divide(F.col("x") - F.col("y"), F.col("y")) * 100
     return rows.join(prev, ["unit", "period"]).where("x > 0 and y > 0").select(
         "period", "form", "unit", "ref", F.lit("large_change").alias("control_id"),
-        (F.abs(percent) > 100).alias("hit"), percent.cast("int").alias("value"),
+        (F.abs(percent) > 100).alias("hit"), percent.try_cast("int").alias("value"),
     )
 
 

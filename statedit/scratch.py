@@ -22,26 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if path:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(path)
-        return path
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-    path = tempfile.mkdtemp(prefix="statedit-")
-    context.setCheckpointDir(path)
-    return context.getCheckpointDir() or path
+    if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="statedit-"))
+        path = context.getCheckpointDir()
+    return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table; all of one application lie together and may go with it."""
+    return f"{shared_dir(spark)}/statedit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write to the shared folder, and read back: the lineage ends there.
+
+    A lost executor then costs a read and not the computation, and Catalyst knows the
+    size of what it joins.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_BYTES = 64 << 20
