@@ -283,13 +283,15 @@ def hits_with_status(v):
 
 @query(f"""
     WITH {CHANGE_HITS}
-    SELECT period, unit, ref, control_id, hit, value, 'Large change' AS description FROM hits""",
-       "observations latest_per_period")
+    SELECT period, unit, ref, form AS control_id, hit, value, CASE WHEN form <> '5-LOW' THEN 'Large change in ' || form END AS description
+    FROM hits""", "observations latest_per_period")
 def describe_hits(v):
-    controls = v.receipts().select("period").distinct().select(
-        F.lit("large_change").alias("control_id"), F.lit("Large change").alias("description")
+    """One control per form, and one form whose control is not in the catalogue."""
+    controls = v.receipts().where("form <> '5-LOW'").select(
+        F.col("form").alias("control_id"), F.concat(F.lit("Large change in "), "form").alias("description")
     )
-    return J.describe_hits(all_change_hits(v), controls).drop("form")
+    hits = all_change_hits(v).withColumn("control_id", F.col("form"))
+    return J.describe_hits(hits, controls).drop("form")
 
 
 @query("""

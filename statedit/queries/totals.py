@@ -7,7 +7,7 @@ from ..operators import filters as FL
 from ..operators import latest as L
 from ..operators import outliers as O
 from ..operators import statement as S
-from ..scratch import small_table
+from ..scratch import materialize, small_table
 from .registry import query
 from .selection import CHANGE_HITS, all_change_hits
 
@@ -204,7 +204,8 @@ def _submissions(v):
     active = L.active_version(v.versions(), v.update_counts())
     now = active.where("period = 1998").select("seq", "unit")
     then = active.where("period = 1997").select(F.col("seq").alias("compare_seq"), "unit")
-    return now.join(then, "unit", "left")
+    # What to show is a chosen list in practice; here it is derived, so store it once.
+    return materialize(now.join(then, "unit", "left"))
 
 
 def _catalogue(v):
