@@ -44,6 +44,3 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
-
-def fill_missing(df: DataFrame, expected: Sequence[str], default: Column) -> DataFrame:
-    return df.select(*[F.col(c) if c in df.columns else default.alias(c) for c in expected])

@@ -274,7 +274,3 @@ def duplicate_submission(ctx: ControlContext) -> DataFrame:
 def _single(value: Any) -> Any:
     return value[0] if isinstance(value, (list, tuple)) else value
 
-
-def stored_hits(existing: DataFrame, scope: Mapping[str, Any], control_id: str | None = None) -> DataFrame:
-    rows = existing.where(matches(scope))
-    return rows if control_id is None else rows.where(F.col("control_id") == control_id)

@@ -44,7 +44,8 @@ def build_log(edits: DataFrame, id_vars: Sequence[str], meta: Mapping[str, Any],
     ``edits`` has ``colId, oldValue, value, timestamp`` (epoch ms), ``reason``,
     ``comment`` and the edited row, as a struct named ``row`` or as plain columns.
     ``meta`` gives ``statistics_name, data_source, data_period, changed_by``.
-    A missing comment or an unknown reason fails the job.
+    A ``seq`` column orders edits of the same time. A missing comment or an unknown
+    reason fails the job.
     """
     def text(c: Column) -> Column:
         return F.coalesce(c.cast("string"), F.lit(NONE))
@@ -77,6 +78,7 @@ def build_log(edits: DataFrame, id_vars: Sequence[str], meta: Mapping[str, Any],
             value("oldValue").alias("old_value"),
             value("value").alias("new_value"),
         ).alias("change_details"),
+        *(["seq"] if "seq" in edits.columns else []),
     )
 
 
@@ -100,7 +102,9 @@ def _state_columns(df: DataFrame, by: Sequence[str], order: Sequence[str], sets:
     df = df.withColumn("__seg", F.sum(F.col(sets).cast("int")).over(along.rowsBetween(*UPTO)))
     inside = Window.partitionBy(*by, "__seg").orderBy(*order).rowsBetween(*UPTO)
     df = df.withColumn("__after", F.first(value, ignorenulls=True).over(inside))
-    return df.withColumn("__before", F.lag(F.struct("__seg", "__after")).over(along))
+    # __seg grows along the order, so this window is already sorted by the one before.
+    again = Window.partitionBy(*by).orderBy("__seg", *order)
+    return df.withColumn("__before", F.lag(F.struct("__seg", "__after")).over(again))
 
 
 def _carry(state: Column, local_set: Column, local: Column) -> Column:

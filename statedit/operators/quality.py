@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import null_safe_join
 from ..schema import FOREIGN_KEYS
+from ..scratch import settle
 
 # Characters that make a column name unsafe.
 RISKY_CHARACTERS = (".", "/", "-", " ")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows that share their key with another row."""
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    """All rows that share their key with another row.
+
+    The repeated keys are computed right away. They are few in a sound table and then
+    broadcast, so that the rows themselves are not shuffled.
+    """
+    repeated = settle(
+        df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), row_bytes=64 * len(keys)
+    )
     return null_safe_join(df, repeated, keys, "left_semi")
 
 

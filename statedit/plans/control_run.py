@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import matches
 from ..operators.aggregates import control_overview
 from ..operators.controls import ControlContext, ControlFunction, register_controls, run_controls, sync_hits
 
@@ -33,4 +34,8 @@ def run_control_suite(
     scope_cols = [c for c in context.scope if c in existing_hits.columns]
     if "form" in existing_hits.columns and "form" not in results.columns:
         results = results.withColumn("form", F.lit(None).cast("string"))
-    return ControlRun(catalogue, sync_hits(existing_hits, results, scope_cols))
+    # Rows of other periods and forms cannot change: only the scope's own rows are joined.
+    mine = F.coalesce(matches({c: context.scope[c] for c in scope_cols}), F.lit(False))
+    synced = sync_hits(existing_hits.where(mine), results, scope_cols)
+    others = existing_hits.where(~mine).withColumn("outcome", F.lit("untouched"))
+    return ControlRun(catalogue, synced.unionByName(others))

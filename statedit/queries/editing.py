@@ -349,7 +349,7 @@ def apply_log(v):
 
 def _ordered_log(v):
     edits = _event_edits(v)
-    return E.build_log(edits, ["user_id"], EDIT_META).withColumn("seq", F.monotonically_increasing_id())
+    return E.build_log(edits, ["user_id"], EDIT_META)
 
 
 @query("""

@@ -49,13 +49,19 @@ def materialize(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
+def measured(df: DataFrame, row_bytes: int = 256) -> tuple[DataFrame, bool]:
+    """The table computed once, and whether its counted size allows a broadcast."""
+    stored = materialize(df)
+    return stored, stored.count() * row_bytes <= BROADCAST_BYTES
+
+
 def settle(df: DataFrame, row_bytes: int = 256) -> DataFrame:
-    """Compute a table of statistics once, and broadcast it if its counted size allows.
+    """A small table computed once, with a broadcast hint if its counted size allows.
 
-    Beyond ``BROADCAST_BYTES`` the table is returned as it is and joins shuffle.
+    Beyond ``BROADCAST_BYTES`` there is no hint and joins shuffle.
     """
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_BYTES else stored
+    stored, small = measured(df, row_bytes)
+    return F.broadcast(stored) if small else stored
 
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:

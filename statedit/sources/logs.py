@@ -45,18 +45,19 @@ def export_log_path(target: str) -> str:
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:
     """A log as JSON lines, or as one JSON array or object.
 
-    ``seq`` keeps the order of the lines, as a tie-break for equal times.
+    ``seq`` breaks ties between equal times: as written, else the order of the lines. A
+    single JSON document is read by one task, as it cannot be split.
     """
     head = spark.read.text(path).where(F.trim("value") != "").head()
     first = head[0].strip() if head else ""
     document = first.startswith("[") or first == "{"
-    rows = spark.read.schema(LOG_SCHEMA).json(path, multiLine=document)
+    rows = spark.read.schema(f"{LOG_SCHEMA}, seq long").json(path, multiLine=document)
     # monotonically_increasing_id follows the position in the file within each split.
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    return rows.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
 
 
 def write_change_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    log.drop("seq").write.mode(mode).json(path)
+    log.write.mode(mode).json(path)
 
 
 def export_edited(

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from statedit import scratch
 from statedit.operators import rules as R
 from statedit.operators.upsert import insert_new, replace_scope, upsert
 from statedit.plans.rule_run import run_rules_for_changes, run_rules_for_period, run_rules_for_submission
@@ -118,13 +119,17 @@ def test_rule_hits_order(spark):
     assert [r.seq for r in R.rule_hits(hits, period=2024, control_id="a").collect()] == [1, 2]
 
 
-def test_upserts(spark, rows):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_upserts(spark, rows, monkeypatch, plan, limit):
+    """Both ways of joining: a batch too large to broadcast, and a small one."""
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", limit)
     old = spark.createDataFrame([(1, "a", 5, "k"), (1, None, 6, "k")], "seq int, account string, amount int, note string")
     new = spark.createDataFrame([(1, None, 7), (2, "a", 8)], "seq int, account string, amount int")
     assert rows(upsert(old, new, ["seq", "account"], ["amount"])) == [
         (1, None, 7, "k", "updated"), (1, "a", 5, "k", "untouched"), (2, "a", 8, None, "inserted")
     ]
     assert insert_new(old, new, ["seq", "account"]).count() == 3
+    assert ("full_outer" in plan(upsert(old, new, ["seq", "account"], ["amount"])).replace("FullOuter", "full_outer")) == (limit == 0)
     emptied = replace_scope(old, old.where("false").select("note", "amount", "account", "seq"), old.select("seq"))
     assert emptied.count() == 0
     swapped = replace_scope(old, old.where("account = 'a'").select("note", "amount", "account", "seq"), old.where("account = 'a'").select("account"))
