@@ -98,7 +98,10 @@ def local_seconds(ts: Column | str, tz: str = "Europe/Oslo", fmt: str = "yyyy-MM
 
     A zone-less timestamp is read as UTC, whatever the session time zone is.
     """
-    wall = F.convert_timezone(F.lit("UTC"), F.lit(tz), _col(ts).cast("timestamp_ntz"))
+    ts = _col(ts)
+    # A zoned timestamp turns zone-less in the session zone. The type is known when planning.
+    zone = F.when(F.typeof(ts) == "timestamp", F.current_timezone()).otherwise("UTC")
+    wall = F.convert_timezone(zone, F.lit(tz), ts.cast("timestamp_ntz"))
     return F.date_format(F.date_trunc("second", wall), fmt)
 
 

@@ -18,14 +18,16 @@ def stream_daily_receipts(receipts: DataFrame, watermark: str = "2 days") -> Dat
     Works in append mode: state holds one count per open day, and responses later than
     the watermark no longer change a day that was sent out.
     """
-    rows = receipts.where(F.col("received_at").isNotNull()).withColumn(
-        "received_at", F.col("received_at").cast("timestamp")
-    )
+    # Windows of a day start at midnight UTC, so the local clock time is put on that scale.
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    clock = F.timestamp_diff("MICROSECOND", epoch, F.col("received_at").cast("timestamp_ntz"))
+    rows = receipts.where(F.col("received_at").isNotNull()).select(F.timestamp_micros(clock).alias("received_at"))
+    days = F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")
     return (
         rows.withWatermark("received_at", watermark)
         .groupBy(F.window("received_at", "1 day").alias("w"))
         .agg(F.count("*").alias("n"))
-        .select(F.to_date("w.start").alias("day"), "n")
+        .select(F.date_add(F.lit("1970-01-01").cast("date"), days).alias("day"), "n")
     )
 
 

@@ -57,6 +57,17 @@ def test_local_seconds_follows_summer_time(spark):
     )
 
 
+def test_local_seconds_does_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT timestamp_seconds(1719828000) AS a, timestamp_ntz'2024-01-01 23:30:00.2' AS b")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert tuple(df.select(C.local_seconds("a"), C.local_seconds("b")).first()) == (
+            "2024-07-01 12:00:00", "2024-01-02 00:30:00"
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_change(spark):
     df = spark.createDataFrame([(3, 1), (None, 2), (2, None), (None, None), (1, 0)], "a int, b int")
     assert [tuple(r) for r in df.select(C.change("a", "b"), C.percent_change("a", "b")).collect()] == [

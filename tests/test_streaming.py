@@ -1,14 +1,17 @@
 import datetime
 
+import pytest
+
 
 from statedit.streaming.receipts import current_latest_active, latest_active_writer, stream_daily_receipts
 
 SCHEMA = "unit string, ref string, active boolean, received_at timestamp"
 
 
-def batch(spark, *data):
+def batch(spark, *data, ahead=0):
+    zone = datetime.timezone(datetime.timedelta(hours=ahead))
     return spark.createDataFrame(
-        [(u, r, a, datetime.datetime(2024, 1, d, h, tzinfo=datetime.timezone.utc)) for u, r, a, d, h in data], SCHEMA
+        [(u, r, a, datetime.datetime(2024, 1, d, h, tzinfo=zone)) for u, r, a, d, h in data], SCHEMA
     )
 
 
@@ -31,7 +34,17 @@ def test_latest_active_over_batches(spark, tmp_path, rows):
     assert len(list((tmp_path / "latest").iterdir())) < 8
 
 
-def test_daily_counts_close_with_the_watermark(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_daily_counts_close_with_the_watermark(spark, tmp_path, zone):
+    """Days are calendar days of the session's clock; the data lies 9 hours later in Tokyo."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        check_daily_counts(spark, tmp_path, 0 if zone == "UTC" else 9)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def check_daily_counts(spark, tmp_path, ahead):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
     def run():
@@ -44,10 +57,10 @@ def test_daily_counts_close_with_the_watermark(spark, tmp_path):
         days = spark.read.schema("day date, n long").parquet(out) if (tmp_path / "out").exists() else None
         return sorted((str(r.day), r.n) for r in days.collect())
 
-    batch(spark, ("u1", "a", True, 1, 5), ("u2", "b", True, 1, 23)).coalesce(1).write.parquet(source)
+    batch(spark, ("u1", "a", True, 1, 5), ("u2", "b", True, 1, 23), ahead=ahead).coalesce(1).write.parquet(source)
     assert run() == []
-    batch(spark, ("u3", "c", True, 1, 22), ("u4", "d", True, 3, 12)).coalesce(1).write.mode("append").parquet(source)
+    batch(spark, ("u3", "c", True, 1, 22), ("u4", "d", True, 3, 12), ahead=ahead).coalesce(1).write.mode("append").parquet(source)
     assert run() == [("2024-01-01", 3)]
     # Too late: the day was sent out.
-    batch(spark, ("u5", "e", True, 1, 22), ("u4", "f", True, 5, 12)).coalesce(1).write.mode("append").parquet(source)
+    batch(spark, ("u5", "e", True, 1, 22), ("u4", "f", True, 5, 12), ahead=ahead).coalesce(1).write.mode("append").parquet(source)
     assert run() == [("2024-01-01", 3), ("2024-01-03", 1)]
