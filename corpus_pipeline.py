@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statedit.llm import language_id
+from statedit.llm import language_id, packing
 from statedit.llm.common import scratch_path, table
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("packing", packing.stage),
 ]
 
 #: The stages compress, verify and tokenize: SQL cannot express them.

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .packing import op5_packing
 
-QUERIES = {f.__name__: f for f in (op6_language_id,)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_language_id)}
 
 SQL: dict[str, str] = {}
