@@ -86,7 +86,7 @@ def _batches(texts: Sequence[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def shingle_hashes(texts: Sequence[bytes], words: int = SHINGLE_WORDS, limit: int = 4 << 20) -> Iterator[np.ndarray]:
+def shingle_hashes(texts: Sequence[bytes], words: int = SHINGLE_WORDS, limit: int = 1 << 18) -> Iterator[np.ndarray]:
     """Per text the 64-bit hashes of all its word shingles, in order and with repeats.
 
     A-Z is lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D. A text of

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .ngram_join import op9_ngram_join
 from .packing import op5_packing
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_language_id)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_language_id, op9_ngram_join)}
 
 SQL: dict[str, str] = {}
