@@ -44,8 +44,11 @@ def fit_dictionaries(
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
         "t is not null and l is not null and t rlike '\\\\p{L}'")
     distinct = rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.min("k").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = distinct.withColumn("r", rank).where(F.col("r") <= sample_texts).select("k")
+    # the smallest of each of 64 parts first, so that a language with most rows is no hot key
+    for part in (["l", F.pmod("h", F.lit(64))], ["l"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("h"))
+        distinct = distinct.withColumn("r", rank).where(F.col("r") <= sample_texts).drop("r")
+    chosen = distinct.select("k")
     keys = [r.k for r in chosen.collect() if r.k is not None]
     picked = (
         rows.where(F.col("k").isin(keys)).select("l", F.xxhash64("t").alias("h"), F.substring("t", 1, sample_chars).alias("t"))
