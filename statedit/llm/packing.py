@@ -35,8 +35,9 @@ SENTENCE_CUT, HARD_CUT, SHORT = 16, 64, 16
 #: Tokens after which a block is solved, and the step of cuts inside an overlong sentence.
 BLOCK_TOKENS, HARD_STEP = 1 << 19, 256
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 500_000
-#: Marks that the tokenizer always parts from a letter or digit before them.
+CACHE_WORDS = 1_000_000
+#: Marks at the end of a word; the tokenizer always parts them from a letter or digit. (Not so
+#: behind U+0130, whose lower case ends in a combining mark.)
 MARKS = ".,;:!?*#%&$|"
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -59,7 +60,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.parts: dict[str, bytes] = {"": b""}
         self.used = self.tokens = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -67,16 +68,16 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words; marks behind a letter or digit are a token run of their own."""
-        parts = []
+        split = []
         for w in words:
             text = w.decode("utf-8", "replace")
             core = text.rstrip(MARKS)
-            parts.append((core, text[len(core):]) if core[-1:].isalnum() else (text, ""))
-        new = list({x for pair in parts for x in pair if x not in self.parts})
+            split.append((core, text[len(core):]) if core[-1:].isalnum() and core[-1] != "\u0130" else (text, ""))
+        new = list({x for pair in split for x in pair if x not in self.parts})
         for x, c in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.parts[x] = c.ids
-        for w, (core, marks) in zip(words, parts):
-            ids = self.parts[core] + self.parts[marks]
+            self.parts[x] = np.array(c.ids, np.int32).tobytes()
+        for w, (core, marks) in zip(words, split):
+            ids = np.frombuffer(self.parts[core] + self.parts[marks], np.int32)
             while self.tokens + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             if self.used == len(self.lens):
@@ -90,7 +91,7 @@ class WordIds:
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the positions behind its sentence ends."""
-        words = (text if b"<|" in text else text.lower()).split()
+        words = (text if b"<|" in text else text.lower()).split()  # names of special tokens have their case
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         at = self.at

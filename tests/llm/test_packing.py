@@ -68,3 +68,13 @@ def test_cut_is_optimal():
         pen = rng.choice([0, 3, 9], n)
         best = min(cost(pos, pen, (0, *c, n - 1), 16) for k in range(n) for c in itertools.combinations(range(1, n - 1), k))
         assert cost(pos, pen, P.cut(pos, pen, 16), 16) == best
+
+
+def test_word_cache_equals_the_tokenizer():
+    rng = random.Random(9)
+    t = Tokenizer.from_file(P.vocabulary())
+    pool = ["It's.", "don't!?", "é.", "—.", "x_.", "a\x1cb", "²,", "Ⅷ.", "Á.", "<|endoftext|>.", " y,", "İ.", "...", "w!.", "ab,cd.", "a.'s ", "q'.", "Σ.", " ", "12.5%"]
+    words = P.WordIds(P.vocabulary())
+    for _ in range(300):
+        text = "".join(rng.choice(pool) + rng.choice([" ", "\n", "\x0b ", ""]) for _ in range(rng.randint(1, 12)))
+        assert words.encode(text.encode())[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
