@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statedit.llm import language_id, ngram_join, packing
+from statedit.llm import decontamination, language_id, ngram_join, packing
 from statedit.llm.common import scratch_path, table
 
 STAGES = [
     ("language_id", language_id.stage),
     ("ngram_join", ngram_join.stage),
+    ("decontamination", decontamination.stage),
     ("packing", packing.stage),
 ]
 
