@@ -6,13 +6,15 @@ from .decontamination import op2_decontamination
 from .language_id import op6_language_id
 from .ngram_join import op9_ngram_join
 from .packing import op5_packing
+from .quotation import op4_quotation_linking
 from .recurrent_lm import op8_recurrent_lm
 from .sharding import op10_sharding
 from .simhash import op1_simhash
 from .url_filter import op3_url_filter
+from .warc_index import op7_warc_index
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_decontamination, op3_url_filter, op5_packing, op6_language_id, op8_recurrent_lm, op9_ngram_join,
-    op10_sharding)}
+    op1_simhash, op2_decontamination, op3_url_filter, op4_quotation_linking, op5_packing, op6_language_id, op7_warc_index,
+    op8_recurrent_lm, op9_ngram_join, op10_sharding)}
 
 SQL: dict[str, str] = {}

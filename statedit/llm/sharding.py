@@ -40,8 +40,8 @@ def number_within(df: DataFrame, group: str, *order: str, name: str = "slot") ->
     placed = sort_with_place(df, group, *order)
     counts = placed.groupBy("pid", group).agg(F.min("at").alias("first"), F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy(group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = materialize(counts.withColumn("offset", before - F.col("first")).select("pid", group, "offset"))
-    return placed.join(offsets, ["pid", group]).withColumn(name, F.col("at") + F.col("offset")).drop("pid", "at", "offset")
+    offsets = materialize(counts.select(F.col("pid").alias("p"), F.col(group).alias("g"), (before - F.col("first")).alias("offset")))
+    return placed.join(offsets, (F.col("pid") == F.col("p")) & F.col(group).eqNullSafe(F.col("g"))).drop("p", "g").withColumn(name, F.col("at") + F.col("offset")).drop("pid", "at", "offset")
 
 
 def kd_leaves(points: DataFrame, dimensions: Sequence[str], weight: str, tie: Sequence[str], target: float, depth: int) -> DataFrame:
