@@ -17,17 +17,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = materialize(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct())
-    while True:
+    mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    before = edges.agg(*mark).first()
+    while before.n:
         # large star: neighbours above a node go to the smallest around it
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: a node and the smaller nodes around it go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        if new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty():
+        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        after = edges.agg(*mark).first()
+        if after == before:
             break
-        edges = new
-    return new.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-        new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        before = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -4,8 +4,8 @@ A document is the set of its hashed shingles. Documents with equal sets are one
 classes link when their Jaccard similarity reaches the threshold. The global order of
 shingles is cut into fragments twice:
 
-1. *Filter.* The order is that of the hashes. Of every set only the lowest quarter takes
-   part, cut into fragments by value; each fragment counts on its own which entries another
+1. *Filter.* The order is that of the hashes. Of every set only the lowest part (two
+   fifths) is looked at, cut into fragments by value; each fragment counts on its own which entries another
    set has as well, and the counts are summed per set. A set that shares too few of its
    entries cannot have a partner. A shingle that repeats within a task is known to be
    shared and sends one witness, so a passage of many documents is not gathered.
@@ -33,15 +33,15 @@ from .common import NEAR_PERCENT, SHINGLE_WORDS, materialize, shingle_hashes, ta
 from .components import components
 
 #: Lowest part of a set, in the order of hashes, that the filter looks at.
-FILTER_PERCENT = 25
-#: Entries of a fragment of the filter; leading bits of a hash that name the fragment when
+FILTER_PERCENT = 40
+#: Entries of a fragment of the filter, and fragments at least; leading bits of a hash that name the fragment when
 #: overlaps are counted.
-FRAGMENT_ENTRIES, OVERLAP_BITS = 1_500_000, 2
+FRAGMENT_ENTRIES, LEAST_FRAGMENTS, OVERLAP_BITS = 1_500_000, 64, 2
 #: Bits of the Bloom filter that spares the second read documents without a partner. Its
 #: size is fixed; what it lets through by chance is removed by an exact join.
 BLOOM_BITS = 1 << 25
-#: Candidate pairs that are compared in one go, per row of the prefix table.
-PAIRS_PER_ROW = 4
+#: Candidate pairs, per row of the prefix table and besides, that are compared in one go.
+PAIRS_PER_ROW, LEAST_PAIRS = 1, 20_000
 
 
 def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -225,7 +225,7 @@ def _bloom(spark: SparkSession, ids: DataFrame):
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, bits: int = OVERLAP_BITS) -> DataFrame:
-    """Pairs (a, b) with the overlap of their sets: partial counts per fragment, summed per pair.
+    """``pairs`` (a, b, ...) with the overlap of their sets: partial counts per fragment, summed per pair.
 
     ``sets`` has (ent, hashes); fragments are intervals of the hashes, by their leading bits.
     """
@@ -234,13 +234,16 @@ def overlaps(pairs: DataFrame, sets: DataFrame, bits: int = OVERLAP_BITS) -> Dat
     part = (
         pairs.join(segments.withColumnsRenamed({"ent": "a", "segment": "sa"}), "a")
         .join(segments.withColumnsRenamed({"ent": "b", "segment": "sb"}), ["b", "fragment"])
-        .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("part"))
+        .select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).alias("part"))
     )
-    return part.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    return part.groupBy(*pairs.columns).agg(F.sum("part").alias("overlap"))
 
 
 def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix entries (hash, ent, n) in the order of document frequency, and the sets cut to shared entries."""
+    """Prefix entries (hash, ent, n, own) in the order of document frequency, and the sets cut to shared entries.
+
+    ``own`` counts the entries of a set that no other set has.
+    """
     entries = sets.select("ent", "n", F.explode("hashes").alias("hash"))
     often = entries.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
     need = F.ceil(F.col("n") * percent / 100)
@@ -248,21 +251,27 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         entries.join(often, "hash").groupBy("ent", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("s"))
         .where(F.size("s") >= need)
         .select("ent", "n", F.col("s.hash").alias("hashes"), (F.size("s") - need + 1).cast("int").alias("k")))
-    prefix = cut.select("ent", "n", F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("hash"))
-    return materialize(prefix), cut.select("ent", "n", "hashes")
+    prefix = cut.select("ent", "n", (F.col("n") - F.size("hashes")).alias("own"), F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("hash"))
+    return prefix, cut.select("ent", "hashes")
 
 
 def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame:
-    """(ent, comp) of all sets (ent, n, hashes) that are linked with another one."""
+    """(ent, comp) of all sets (ent, n, hashes) that are linked with another one.
+
+    A round compares the centre of each group of a prefix shingle with the group's other
+    members; the centre is the set with the fewest entries of its own, as an original among
+    its copies is. Members that link take over the smallest label around them, and the centre
+    leaves the group, for it has no untested partner there. Groups of a single label are
+    done. Once the pairs left are no more than the rows, all of them are compared.
+    """
+    spark = sets.sparkSession
     prefix, sets = _prefixes(sets, percent)
-    rows = prefix.count()
-    comp = None
-    centres = 1
-    tested = prefix.sparkSession.createDataFrame([], "a long, b long")
-    merged = []
-    while rows:
-        members = prefix.withColumn("comp", F.col("ent")) if comp is None else (
-            prefix.join(comp, "ent", "left").withColumn("comp", F.coalesce("comp", "ent")))
+    members = materialize(prefix.withColumn("comp", F.col("ent")))
+    rows = members.count()
+    tested = spark.createDataFrame([], "a long, b long")
+    links = tested
+    turn = 0
+    while True:
         per = members.groupBy("hash", "comp").agg(F.count("*").alias("m"))
         groups = per.groupBy("hash").agg(
             F.count("*").alias("comps"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("comps > 1")
@@ -270,35 +279,39 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
         left = groups.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
         if not left:
             break
-        open_ = materialize(members.join(groups.select("hash"), "hash"))
-        a = open_.withColumnsRenamed({"ent": "a", "n": "na", "comp": "ca"})
-        b = open_.withColumnsRenamed({"ent": "b", "n": "nb", "comp": "cb"})
-        last = left <= PAIRS_PER_ROW * rows + 100_000
-        if not last:
-            # the centres of a group: of the smallest entities under a hash that changes each round
-            key = F.struct(F.xxhash64("ent", F.lit(centres)).alias("o"), "ent", "n", "comp")
-            chosen = open_.groupBy("hash").agg(F.min_by(F.struct("ent", "n", "comp"), key).alias("c"))
-            chosen = materialize(chosen.select("hash", F.col("c.ent").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca")))
-            pairs = chosen.join(b, "hash").where("ca <> cb")
-        else:
+        members = members.join(groups.select("hash"), "hash")
+        b = members.select("hash", F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        last = left <= PAIRS_PER_ROW * rows + LEAST_PAIRS
+        if last:
+            a = members.select("hash", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             pairs = a.join(b, "hash").where("a < b and ca <> cb")
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        size = sets.select("ent", "n")
-        links = overlaps(pairs, sets).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(
-            F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
-        merged.append(materialize(links.select("a", "b")))
-        found = merged[0]
-        for m in merged[1:]:
-            found = found.union(m)
-        comp = materialize(components(found).toDF("ent", "comp"))
+        else:
+            key = F.struct("own", F.xxhash64("ent", F.lit(turn)).alias("o"))
+            centres = materialize(members.groupBy("hash").agg(F.min_by(F.struct("ent", "n", "comp"), key).alias("c")))
+            a = centres.select("hash", F.col("c.ent").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca"))
+            pairs = a.join(b, "hash").where("ca <> cb")
+        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        first, second = F.struct("a", "na", "ca"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("cb").alias("ca"))
+        pairs = pairs.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).select(
+            F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"),
+            F.col("x.ca").alias("ca"), F.col("y.ca").alias("cb")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs)
+        found = materialize(overlaps(pairs, sets).where(
+            F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "ca", "cb"))
+        links = links.union(found.select("a", "b"))
         if last:
             break
-        tested = tested.union(pairs)
-        prefix = materialize(prefix.join(chosen.select("hash", F.col("a").alias("ent")), ["hash", "ent"], "left_anti"))
-        centres += 1
-    return comp if comp is not None else tested.toDF("ent", "comp")
+        tested = tested.union(pairs.select("a", "b"))
+        both = found.select("ca", "cb").union(found.select("cb", "ca")).toDF("e", "other")
+        near = materialize(both.groupBy("e").agg(F.min("other").alias("near")))
+        # two steps along the links: to the centre, and from there to the smallest around it
+        step = near.select(F.col("e").alias("near"), F.col("near").alias("far"))
+        label = near.join(step, "near", "left").select("e", F.least("e", "near", "far").alias("new"))
+        rest = members.join(centres.select("hash", F.col("c.ent").alias("ent")), ["hash", "ent"], "left_anti")
+        members = materialize(rest.join(label, F.col("comp") == F.col("e"), "left").select(
+            "hash", "ent", "n", "own", F.least("comp", "new").alias("comp")))
+        turn += 1
+    return components(links).toDF("ent", "comp")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
@@ -315,7 +328,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     rows = materialize(shingle_sets(docs, words, False))
     classes = rows.where("n > 0").groupBy("digest", "ent").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     entries = rows.agg(F.sum("n")).first()[0] or 0
-    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries * filter_percent // 100 // FRAGMENT_ENTRIES)
+    fragments = max(LEAST_FRAGMENTS, entries * filter_percent // 100 // FRAGMENT_ENTRIES)
     packed = _fragments(docs, words, percent, filter_percent, fragments)
     spread = F.coalesce("fragment", F.abs(F.hash("runs")) % fragments)
     shared = packed.repartition(fragments, spread).mapInArrow(_count_shared, "ent long, shared long").groupBy("ent").agg(F.sum("shared").alias("shared"))

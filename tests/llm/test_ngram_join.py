@@ -47,7 +47,8 @@ def corpus(seed):
 def test_against_brute_force(spark, monkeypatch):
     for seed, per_row in ((1, 4), (2, 0)):
         if not per_row:  # many star rounds
-            monkeypatch.setattr(N, "PAIRS_PER_ROW", -10 ** 6)
+            monkeypatch.setattr(N, "PAIRS_PER_ROW", 0)
+            monkeypatch.setattr(N, "LEAST_PAIRS", 100)
         docs = corpus(seed)
         df = spark.createDataFrame([(k, t, k, "z") for k, t in docs], "doc_id long, text string, n long, ent string").repartition(3)
         got = sorted(tuple(r) for r in N.near_classes(df).collect())
