@@ -13,8 +13,8 @@ from ..functions.columns import datatype_status, local_seconds
 from ..functions.frames import null_safe_join
 from ..functions.ordered import UPTO
 from ..schema import INITIAL_LOAD, IN_PROGRESS, UNTREATED
-from ..scratch import materialize, settle
-from .quality import check_column_names, require_unique
+from ..scratch import materialize
+from .quality import check_column_names, require_unique, types_per_variable
 
 # How a missing value is written in a log, and an export not done yet.
 NONE = "None"
@@ -117,16 +117,15 @@ def replay_log(
 ) -> tuple[DataFrame, DataFrame]:
     """Replay a change log: ``(edited, problems)``.
 
-    Edits apply in order of ``change_datetime`` and then ``seq``. An edit takes effect
+    A log row may change several cells; they apply in their order in the row. Edits apply in order of ``change_datetime`` and then ``seq``. An edit takes effect
     when its old value equals the cell; a logged old value of ``None`` fills a null cell
     and does nothing otherwise. ``problems`` lists edits that cannot be applied
     (``unit_not_found``, ``unit_not_unique``, ``stale_old_value``, ``bad_value``,
-    ``unknown_variable``); ``edited`` is only meaningful when it is empty.
+    ``unknown_variable``, ``uneven_cells`` where old and new values do not pair up); ``edited`` is only meaningful when it is empty.
 
     The edits of a cell are never collected. They are folded by window within time
     chunks, and the chunks by a second window, so a cell with very many edits is spread
-    over tasks. The log is worked out right away; while the edited rows are few enough
-    to broadcast, the base is read without a shuffle.
+    over tasks. The log is worked out right away.
     """
     id_vars = list(id_vars)
     names = [c for c in base.columns if c not in id_vars] if variables is None else list(variables)
@@ -140,17 +139,22 @@ def replay_log(
         details["unit_id"], lambda u: F.struct(u["unit_id_variable"], u["unit_id_value"])
     ))
     seq = F.col("seq") if "seq" in log.columns else F.monotonically_increasing_id()
-    old, new = details["old_value"][0], details["new_value"][0]
-    raw = log.select(
+    rows = log.select(
         *[F.try_element_at(ids, F.lit(v)).alias(k) for v, k in zip(id_vars, keys)],
-        old["variable_name"].alias("variable"), F.col("change_datetime").alias("t"), seq.alias("pos"),
-        old["value"].alias("old_raw"), new["value"].alias("new_raw"),
+        F.col("change_datetime").alias("t"), seq.alias("seq"), details["old_value"].alias("olds"), details["new_value"].alias("news"),
+    )
+    paired = rows.select(*keys, "t", "seq", F.posexplode_outer(F.arrays_zip("olds", "news")).alias("cell_no", "c"))
+    old, new = F.col("c.olds"), F.col("c.news")
+    raw = paired.select(
+        *keys, F.coalesce(old["variable_name"], new["variable_name"]).alias("variable"), "t",
+        F.struct("seq", "cell_no").alias("pos"), old["value"].alias("old_raw"), new["value"].alias("new_raw"),
+        (~F.coalesce(old["variable_name"] == new["variable_name"], F.lit(False))).alias("uneven"),
     )
     typed = raw.select(
         "*",
         _typed_text(F.nullif("old_raw", F.lit(NONE)), F.col("variable"), base, names).alias("old"),
         _typed_text(F.nullif("new_raw", F.lit(NONE)), F.col("variable"), base, names).alias("new"),
-        (F.col("old_raw") != NONE).alias("sets"),
+        F.coalesce(F.col("old_raw") != NONE, F.lit(False)).alias("sets"),
         F.date_trunc(chunk, "t").alias("chunk"),
     )
     # The log is used by every step below and is small beside the base: work it out once.
@@ -175,9 +179,9 @@ def replay_log(
 
 
 def _apply_final(base: DataFrame, keyed: DataFrame, final: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    updates = settle(final.groupBy(*keys).agg(*[
+    updates = materialize(final.groupBy(*keys).agg(*[
         F.max(F.when(F.col("variable") == n, F.col("__f"))).alias(f"__u_{n}") for n in names
-    ]), row_bytes=64 * (len(keys) + len(names)))
+    ]))
     joined = keyed.join(updates, list(keys), "left")
 
     def merged(n: str) -> Column:
@@ -204,12 +208,12 @@ def _problems(
     unreadable = (
         (F.col("sets") & F.col("old").isNull()) | ((F.col("new_raw") != NONE) & F.col("new").isNull())
     )
-    kind = F.when(~F.col("variable").isin(*names), "unknown_variable").when(unreadable, "bad_value")
+    known = F.coalesce(F.col("variable").isin(*names), F.lit(False))
+    kind = F.when(F.col("uneven"), "uneven_cells").when(~known, "unknown_variable").when(unreadable, "bad_value")
     badly_written = report(steps.where(kind.isNotNull()), kind)
 
     # Only base rows that some edit names are grouped.
-    touched = settle(steps.select(*keys).distinct(), row_bytes=64 * len(keys))
-    found = keyed.join(touched, list(keys), "left_semi")
+    found = keyed.join(materialize(steps.select(*keys).distinct()), list(keys), "left_semi")
     cells = F.struct(*[F.col(n).cast("string").alias(n) for n in names])
     per_key = found.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(cells).alias("__cells"))
     located = steps.join(per_key, list(keys), "left")
@@ -235,17 +239,17 @@ def apply_log(
     """The edited table, or an error naming the first problems. Runs jobs for the checks."""
     if id_vars is None:
         id_vars = log_id_variables(log)
-    variables = [
-        r[0] for r in log.select(F.col("change_details.old_value")[0]["variable_name"]).distinct().collect()
-    ]
-    unknown = [v for v in variables if v not in base.columns]
+    details = F.col("change_details")
+    named = F.explode(F.concat(details["old_value"]["variable_name"], details["new_value"]["variable_name"]))
+    used = materialize(log.select(named.alias("v")).distinct())
+    unknown = [r.v for r in used.where(~F.col("v").isin(*base.columns)).take(5)]
     if unknown:
         raise ValueError(f"The log changes columns the table does not have: {unknown}")
-    edited, problems = replay_log(base, log, id_vars, variables)
+    require_unique(base, id_vars)  # edits never touch the keys
+    edited, problems = replay_log(base, log, id_vars, [r.v for r in used.where(F.col("v").isNotNull()).collect()])
     examples = problems.orderBy("change_datetime").take(5)
     if examples:
         raise ValueError(f"The log cannot be applied, for example: {[r.asDict() for r in examples]}")
-    require_unique(edited, id_vars)
     return check_column_names(edited, allow=allow_risky_names)
 
 
@@ -256,29 +260,24 @@ def log_id_variables(log: DataFrame) -> list[str]:
 
 
 def log_report(log: DataFrame) -> DataFrame:
-    """One readable text per change, with its time for sorting."""
+    """One row per changed cell, for reading: when, who, which unit and what.
+
+    ``unit`` lists the unit's ids as ``name=value``; a missing value reads ``None``.
+    """
     details = F.col("change_details")
     unit = F.array_join(F.transform(
         details["unit_id"], lambda u: F.concat(u["unit_id_variable"], F.lit("="), u["unit_id_value"])
     ), ", ")
-
-    def first(part: str) -> Column:
-        return F.coalesce(F.try_element_at(details[part], F.lit(1))["value"], F.lit(NONE))
-
-    def show(c: Column) -> Column:
-        return F.coalesce(c.cast("string"), F.lit(NONE))
-
-    lines = [
-        F.concat(F.lit("Variable: "), show(F.col("variable_name"))),
-        F.concat(F.lit("  Data source: "), show(F.col("data_source")[0])),
-        F.concat(F.lit("  Data target: "), show(F.col("data_target"))),
-        F.concat(F.lit("  Changed by: "), show(F.col("changed_by")), F.lit(" at "), show(F.col("change_datetime"))),
-        F.concat(F.lit("  Unit IDs: "), unit),
-        F.concat(F.lit("  Old value: "), first("old_value"), F.lit(" -> New value: "), first("new_value")),
-        F.concat(F.lit("  Comment: "), show(F.col("change_comment"))),
-        F.lit("-" * 60),
-    ]
-    return log.select("change_datetime", F.concat_ws("\n", *lines).alias("report"))
+    rows = log.select(
+        "change_datetime", F.col("data_source")[0].alias("data_source"), "data_target", "changed_by", unit.alias("unit"),
+        "change_comment", details["old_value"].alias("olds"), details["new_value"].alias("news"),
+    )
+    cells = rows.select("*", F.posexplode_outer(F.arrays_zip("olds", "news")).alias("cell_no", "c")).drop("olds", "news")
+    return cells.select(
+        "change_datetime", "cell_no", F.coalesce("c.olds.variable_name", "c.news.variable_name").alias("variable"), "unit",
+        F.coalesce("c.olds.value", F.lit(NONE)).alias("old_value"), F.coalesce("c.news.value", F.lit(NONE)).alias("new_value"),
+        "changed_by", "change_comment", "data_source", "data_target",
+    )
 
 
 # --- batch edits of stored tables -----------------------------------------------------
@@ -304,31 +303,36 @@ def editable(edits: DataFrame, kind: str, columns: Sequence[str] | None = None)
 
 def edit_outcomes(
     table: DataFrame, edits: DataFrame, locate: Sequence[str], types: DataFrame | None = None,
-    long: bool = True, check_old: bool = True, insert_missing: bool = False,
+    long: bool = True, check_old: bool = True, insert_missing: bool = False, table_name: str | None = None,
 ) -> DataFrame:
     """Judge a batch of edits ``(locate..., variable, old_value, value)``.
 
     Adds ``outcome`` (``updated``, ``inserted``, ``unchanged``, ``rejected``) and
     ``reason``. The batch is computed right away. It holds one edit per cell; several for one cell are rejected, as
-    their order is not known (that is what a change log is for).
+    their order is not known (that is what a change log is for). Datatypes are those of the
+    edit's period, or else of the period of the row it changes, and of ``table_name``.
     """
     key = [*locate, "variable"]
     edits = materialize(edits)
+    by_period = types is not None and "period" in types.columns and "period" in table.columns
+    period = F.col("period") if by_period else F.lit(None).cast("int")
     if long:
-        current = table.select(*key, F.col("value").cast("string").alias("__now"))
+        current = table.select(*key, F.col("value").cast("string").alias("__now"), period.alias("__period"))
     else:
         columns = [c for c in table.columns if c not in locate]
-        text = table.select(*locate, *[F.col(c).cast("string").alias(c) for c in columns])
-        rows = settle(edits.select(*locate).distinct(), row_bytes=64 * len(locate))
-        current = text.join(rows, list(locate), "left_semi").unpivot(list(locate), columns, "variable", "__now")
-    # Edits are few beside the table: their keys are broadcast, and the table stays in place.
-    wanted = settle(edits.select(*key).distinct(), row_bytes=64 * len(key))
-    touched = current.join(wanted, key, "left_semi")
-    found = touched.groupBy(*key).agg(F.count("*").alias("__n"), F.first("__now").alias("__now"))
+        text = table.select(*locate, *[F.col(c).cast("string").alias(c) for c in columns], period.alias("__period"))
+        current = text.join(edits.select(*locate).distinct(), list(locate), "left_semi").unpivot(
+            [*locate, "__period"], columns, "variable", "__now")
+    touched = current.join(edits.select(*key), key, "left_semi")
+    found = touched.groupBy(*key).agg(F.count("*").alias("__n"), F.first("__now").alias("__now"), F.first("__period").alias("__period"))
     repeats = edits.groupBy(*key).agg(F.count("*").alias("__edits"))
     joined = edits.join(repeats, key).join(found, key, "left")
     if types is not None:
-        joined = joined.join(types.select("variable", "datatype"), "variable", "left")
+        one, on = types_per_variable(types, table, "datatype", table_name=table_name)
+        if by_period:
+            joined = joined.withColumn("__period", F.coalesce("period", "__period") if "period" in edits.columns else F.col("__period"))
+            one, on = one.withColumnRenamed("period", "__period"), ["__period", "variable"]
+        joined = joined.join(one, on, "left")
         status = datatype_status("value", "datatype")
     else:
         status = F.lit("ok")
@@ -350,13 +354,12 @@ def edit_outcomes(
 
 def edit_values(
     table: DataFrame, edits: DataFrame, locate: Sequence[str], types: DataFrame | None = None,
-    long: bool = True, check_old: bool = True, insert_missing: bool = False,
+    long: bool = True, check_old: bool = True, insert_missing: bool = False, table_name: str | None = None,
 ) -> DataFrame:
     """The table after the accepted edits of a batch; see ``edit_outcomes``. Runs a job."""
     key = [*locate, "variable"]
-    judged = edit_outcomes(table, edits, locate, types, long, check_old, insert_missing)
-    # The batch is judged once; as a small table it is then broadcast to the large one.
-    accepted = settle(judged.where(F.col("outcome").isin("updated", "inserted")))
+    judged = edit_outcomes(table, edits, locate, types, long, check_old, insert_missing, table_name)
+    accepted = materialize(judged.where(F.col("outcome").isin("updated", "inserted")))
     if long:
         new = accepted.where(F.col("outcome") == "updated").select(
             *key, F.col("value").alias("__new"), F.lit(True).alias("__e")

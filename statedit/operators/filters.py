@@ -131,8 +131,9 @@ def failing_rows(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return flagged.where(bad)
 
 
-def datatype_report(obs: DataFrame, types: DataFrame) -> DataFrame:
+def datatype_report(obs: DataFrame, types: DataFrame, table_name: str | None = None) -> DataFrame:
     """Every value with its datatype status; values without metadata are ``ok``."""
-    return obs.join(types.select("variable", "datatype"), "variable", "left").withColumn(
+    one, keys = types_per_variable(types, obs, "datatype", table_name=table_name)
+    return obs.join(one, keys, "left").select(*obs.columns, "datatype").withColumn(
         "status", C.datatype_status("value", "datatype")
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import change, matches, percent_change
 from ..functions.frames import null_safe_join, one_per_key
 from .latest import latest_active
-from .quality import require_columns
+from .quality import require_columns, types_per_variable
 
 
 def link_periods(receipts: DataFrame, current: Mapping[str, Any], previous: Mapping[str, Any]) -> DataFrame:
@@ -35,9 +35,10 @@ def establishments_of(enterprise: DataFrame, mapping: DataFrame, filters: Mappin
     return joined.where(matches(filters))
 
 
-def with_metadata(obs: DataFrame, types: DataFrame) -> DataFrame:
-    """Row number and datatype of each variable; unknown variables keep nulls."""
-    return obs.join(types.select("variable", "rowno", "datatype"), "variable", "left")
+def with_metadata(obs: DataFrame, types: DataFrame, table_name: str | None = None) -> DataFrame:
+    """Row number and datatype of each variable in its period; unknown variables keep nulls."""
+    one, keys = types_per_variable(types, obs, "rowno", "datatype", table_name=table_name)
+    return obs.join(one, keys, "left").select(*obs.columns, "rowno", "datatype")
 
 
 def hits_with_status(

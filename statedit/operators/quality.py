@@ -79,3 +79,22 @@ def reference_report(tables: dict[str, DataFrame], periods: Sequence[str] = ("pe
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def types_per_variable(types: DataFrame, like: DataFrame, *columns: str, table_name: str | None = None) -> tuple[DataFrame, list[str]]:
+    """One row of metadata per variable, and the columns to join it on.
+
+    Metadata is keyed by period, table and variable. ``table_name`` picks a table; without
+    it, several tables must agree. The period takes part when ``like`` has one as well, else
+    the periods must agree. Contradicting rows of one key fail the job.
+    """
+    if table_name is not None and "table_name" in types.columns:
+        types = types.where(F.col("table_name") == table_name)
+    keys = [c for c in ("period", "variable") if c in types.columns and c in like.columns] or ["variable"]
+    if "variable" not in keys:
+        keys.append("variable")
+    row = F.struct(*columns)
+    one = types.groupBy(*keys).agg(F.min(row).alias("__low"), F.max(row).alias("__high"))
+    agreed = F.when(F.col("__low").eqNullSafe(F.col("__high")), F.lit(True)).otherwise(F.raise_error(
+        F.concat(F.lit("Contradicting metadata of variable "), F.coalesce("variable", F.lit("null")))).cast("boolean"))
+    return one.where(agreed).select(*keys, *[F.col(f"__low.{c}").alias(c) for c in columns]), keys

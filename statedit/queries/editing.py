@@ -366,14 +366,34 @@ def problems(v):
 
 @query(f"""
     WITH {EDIT_SQL}
-    SELECT 'Variable: ' || event_type || chr(10) || '  Data source: users.parquet' || chr(10)
-        || '  Data target: data_target_placeholder' || chr(10) || '  Changed by: editor at ' || strftime(ts, '%Y-%m-%d %H:%M:%S')
-        || chr(10) || '  Unit IDs: user_id=' || user_id || chr(10)
-        || '  Old value: ' || coalesce(CAST(old AS VARCHAR), 'None') || ' -> New value: ' || coalesce(CAST(new AS VARCHAR), 'None')
-        || chr(10) || '  Comment: line' || props || chr(10) || repeat('-', 60) AS report FROM edits""")
+    SELECT date_trunc('millisecond', ts) AS change_datetime, 0 AS cell_no, event_type AS variable, 'user_id=' || user_id AS unit,
+           coalesce(CAST(old AS VARCHAR), 'None') AS old_value, coalesce(CAST(new AS VARCHAR), 'None') AS new_value,
+           'editor' AS changed_by, 'line' || props AS change_comment, 'users.parquet' AS data_source,
+           'data_target_placeholder' AS data_target FROM edits""")
 def log_report(v):
-    log = _event_log(v)[1].withColumn("change_datetime", F.date_trunc("second", "change_datetime"))
-    return E.log_report(log).select("report")
+    report = E.log_report(_event_log(v)[1])
+    return report.withColumn("change_datetime", F.col("change_datetime").cast("timestamp_ntz"))
+
+
+def _two_cell_log(v):
+    """The event log with a second cell in every row: how many edits its user had before, and now."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    turns = v.source("events").select(F.col("event_id").alias("seq"), n.alias("n"))
+
+    def with_count(part, value):
+        added = F.array(F.struct(F.lit("edits").alias("variable_name"), value.cast("string").alias("value")))
+        return F.concat(F.col("change_details")[part], added)
+
+    details = F.col("change_details")
+    details = details.withField("old_value", with_count("old_value", F.col("n") - 1)).withField("new_value", with_count("new_value", F.col("n")))
+    return _ordered_log(v).join(turns, "seq").withColumn("change_details", details).drop("n")
+
+
+@query(REPLAY_SQL.replace("SELECT user_id, CASE", "SELECT user_id, count(*) AS edits, CASE", 1))
+def apply_log_cells(v):
+    """Every log row changes two cells of its user."""
+    base = _event_base(v).withColumn("edits", F.lit(0).cast("long"))
+    return E.apply_log(base, _two_cell_log(v), ["user_id"])
 
 
 @query(f"""

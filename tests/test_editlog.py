@@ -164,10 +164,44 @@ def test_build_log(spark):
 
 def test_log_report(spark):
     _, log = one_cell(spark, "10", "20")
-    assert E.log_report(log).first().report.split("\n") == [
-        "Variable: value", "  Data source: x.parquet", "  Data target: data_target_placeholder",
-        "  Changed by: me at 2024-01-01 00:00:00", "  Unit IDs: id=1", "  Old value: 10 -> New value: 20", "  Comment: c", "-" * 60,
-    ]
+    r = E.log_report(log).first()
+    assert (r.variable, r.unit, r.old_value, r.new_value, r.changed_by, r.change_comment) == ("value", "id=1", "10", "20", "me", "c")
+
+
+def cells(unit, changes, at):
+    one = entry(unit, changes[0][0], None, None, at)
+    for part, k in (("old_value", 1), ("new_value", 2)):
+        one["change_details"][part] = [{"variable_name": c[0], "value": c[k]} for c in changes]
+    return one
+
+
+def test_rows_with_several_cells(spark, rows):
+    base = spark.createDataFrame([(1, "a", 5, 1.0, "x"), (2, "a", 6, 2.0, None)], BASE)
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    log = make_log(spark, [
+        cells({"id": 1, "part": "a"}, [("amount", "5", "7"), ("price", "1.0", "3.5"), ("amount", "7", "8")], at),
+        cells({"id": 2, "part": "a"}, [("note", "None", "n"), ("amount", "6", "None")], at),
+    ])
+    out = E.apply_log(base, log, ["id", "part"])
+    assert rows(out) == [(1, "a", 8, 3.5, "x"), (2, "a", None, 2.0, "n")]
+    assert E.log_report(log).count() == 5
+    uneven = cells({"id": 1, "part": "a"}, [("amount", "5", "7")], at)
+    uneven["change_details"]["new_value"].append({"variable_name": "price", "value": "2"})
+    with pytest.raises(ValueError, match="uneven_cells"):
+        E.apply_log(base, make_log(spark, [uneven]), ["id", "part"])
+
+
+def test_metadata_by_period_and_table(spark, rows):
+    types = spark.createDataFrame(
+        [(2023, "t", "a", "string"), (2024, "t", "a", "integer"), (2024, "u", "a", "integer"), (2024, "u", "b", "string")],
+        "period int, table_name string, variable string, datatype string")
+    edits = spark.createDataFrame([("r1", "a", "1", "2"), ("r1", "b", "x", "y")], "ref string, variable string, old_value string, value string")
+    out = E.edit_values(observations(spark), edits, ["ref"], types)
+    assert rows(out, "ref", "variable", "value") == [("r1", "a", "2"), ("r1", "b", "y"), ("r2", "a", None)]
+    torn = types.unionByName(spark.createDataFrame([(2024, "w", "a", "string")], types.schema))
+    with pytest.raises(Exception, match="Contradicting metadata"):
+        E.edit_outcomes(observations(spark), edits, ["ref"], torn).collect()
+    assert E.edit_outcomes(observations(spark), edits, ["ref"], torn, table_name="u").where("outcome = 'updated'").count() == 2
 
 
 LONG = "period int, unit string, ref string, variable string, value string"
