@@ -262,35 +262,42 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
     members; the centre is the set with the fewest entries of its own, as an original among
     its copies is. Members that link take over the smallest label around them, and the centre
     leaves the group, for it has no untested partner there. Groups of a single label are
-    done. Once the pairs left are no more than the rows, all of them are compared.
+    done. Once the pairs left are few beside the rows, by a measure that doubles each round,
+    all of them are compared.
+
+    An overlap is at most the smaller count of shared entries, so a set that shares too little
+    of itself (``low``) cannot link with another such set: of those no pairs are formed.
     """
     spark = sets.sparkSession
     prefix, sets = _prefixes(sets, percent)
-    members = materialize(prefix.withColumn("comp", F.col("ent")))
+    low = (F.col("n") - F.col("own")) * (100 + percent) < F.col("n") * 2 * percent
+    members = materialize(prefix.withColumn("low", low.cast("int")).withColumn("comp", F.col("ent")))
     rows = members.count()
     tested = spark.createDataFrame([], "a long, b long")
     links = tested
     turn = 0
     while True:
-        per = members.groupBy("hash", "comp").agg(F.count("*").alias("m"))
-        groups = per.groupBy("hash").agg(
-            F.count("*").alias("comps"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("comps > 1")
+        per = members.groupBy("hash", "comp").agg(F.count("*").alias("m"), F.sum("low").alias("l"))
+        across = lambda c: F.sum(c) * F.sum(c) - F.sum(F.col(c) * F.col(c))
+        groups = per.groupBy("hash").agg(((across("m") - across("l")) / 2).alias("pairs")).where("pairs > 0")
         groups = materialize(groups)
         left = groups.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
         if not left:
             break
         members = members.join(groups.select("hash"), "hash")
-        b = members.select("hash", F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        last = left <= PAIRS_PER_ROW * rows + LEAST_PAIRS
+        named = lambda x: [F.col(c).alias(c[0] + x) for c in ("own", "n", "comp", "low")]
+        b = members.select("hash", F.col("ent").alias("b"), *named("b"))
+        last = left <= (PAIRS_PER_ROW * rows + LEAST_PAIRS) * 2 ** turn
         if last:
-            a = members.select("hash", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = a.join(b, "hash").where("a < b and ca <> cb")
+            a = members.select("hash", F.col("ent").alias("a"), *named("a"))
+            pairs = a.join(b, "hash").where("a < b and ca <> cb and la + lb < 2")
         else:
-            key = F.struct("own", F.xxhash64("ent", F.lit(turn)).alias("o"))
-            centres = materialize(members.groupBy("hash").agg(F.min_by(F.struct("ent", "n", "comp"), key).alias("c")))
-            a = centres.select("hash", F.col("c.ent").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca"))
-            pairs = a.join(b, "hash").where("ca <> cb")
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            key = F.struct("low", "own", F.xxhash64("ent", F.lit(turn)).alias("o"))
+            centres = materialize(members.groupBy("hash").agg(F.min_by(F.struct("ent", "own", "n", "comp", "low"), key).alias("c")))
+            a = centres.select("hash", "c.*").select("hash", F.col("ent").alias("a"), *named("a"))
+            pairs = a.join(b, "hash").where("ca <> cb and la + lb < 2")
+        most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+        pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
         first, second = F.struct("a", "na", "ca"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("cb").alias("ca"))
         pairs = pairs.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).select(
             F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"),
@@ -309,7 +316,7 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
         label = near.join(step, "near", "left").select("e", F.least("e", "near", "far").alias("new"))
         rest = members.join(centres.select("hash", F.col("c.ent").alias("ent")), ["hash", "ent"], "left_anti")
         members = materialize(rest.join(label, F.col("comp") == F.col("e"), "left").select(
-            "hash", "ent", "n", "own", F.least("comp", "new").alias("comp")))
+            "hash", "ent", "n", "own", "low", F.least("comp", "new").alias("comp")))
         turn += 1
     return components(links).toDF("ent", "comp")
 
