@@ -15,9 +15,11 @@ import gzip
 import hashlib
 import json
 import uuid
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -91,22 +93,28 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def _deflated(html: pd.Series) -> pd.Series:
+    return html.map(lambda text: zlib.compress(text.encode(), 6))
+
+
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html",
                    block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write archives, index and directories; a row per part: (first, last, part, file, blocks, lines).
 
     A page's payload is its html in UTF-8, null as empty. Of equal payloads the page with
     the largest id is the response (of equal ids, one by url), the others revisit it.
-    Null ids come last of all. An empty table gives no parts.
+    Null ids come last of all. An empty table gives no parts. Payloads are shuffled
+    deflated.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     kept = materialize(rows.select("sha", "page_id", "url").groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("kept")))
     kept = kept.select("sha", F.col("kept.page_id").alias("to"), F.col("kept.url").alias("to_url"))
-    keyed = rows.join(kept, "sha").withColumn("surt", surt_column(F.col("url")))
+    deflated = rows.select("sha", "page_id", "url", F.pandas_udf(_deflated, "binary")("html").alias("body"))
+    keyed = deflated.join(kept, "sha").withColumn("surt", surt_column(F.col("url")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.select("surt", "page_id", "url", "html", "to", "to_url").repartitionByRange(n, "surt", "page_id").sortWithinPartitions("surt", "page_id", "url")
+    ordered = keyed.select("surt", "page_id", "url", "body", "to", "to_url").repartitionByRange(n, "surt", "page_id").sortWithinPartitions("surt", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -130,8 +138,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
             for batch in batches:
                 for i in range(batch.num_rows):
-                    k, page_id, link, text, to, to_url = (batch.column(c)[i].as_py() for c in range(6))
-                    payload = text.encode()
+                    k, page_id, link, body, to, to_url = (batch.column(c)[i].as_py() for c in range(6))
+                    payload = zlib.decompress(body)
                     own = (page_id, link) == (to, to_url) and (k, page_id, link) != done
                     done = (k, page_id, link) if own else done
                     packed = gzip.compress(record(page_id, link, payload, sha1_base32(payload), "response" if own else "revisit", to), 6, mtime=0)
