@@ -36,6 +36,8 @@ SENTENCE_CUT, HARD_CUT, SHORT = 16, 64, 16
 BLOCK_TOKENS, HARD_STEP = 1 << 19, 256
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 1_000_000
+#: The same for a worker that earlier stages of a pipeline have left little memory.
+STAGE_CACHE_WORDS = 250_000
 #: Marks at the end of a word; the tokenizer always parts them from a letter or digit. (Not so
 #: behind U+0130, whose lower case ends in a combining mark.)
 MARKS = ".,;:!?*#%&$|"
@@ -51,11 +53,12 @@ class WordIds:
     words one after another.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache_words = cache_words
         self.clear()
 
     def clear(self) -> None:
@@ -98,7 +101,7 @@ class WordIds:
         try:
             found = [at[w] for w in words]
         except KeyError:
-            if self.used > CACHE_WORDS:
+            if self.used > self.cache_words:
                 self.clear()
                 at = self.at
             self._learn(list(set(words).difference(at)))
@@ -111,8 +114,8 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, cache_words: int = CACHE_WORDS) -> WordIds:
+    return WordIds(path, cache_words)
 
 
 def cut(pos: np.ndarray, pen: np.ndarray, size: int) -> list[int]:
@@ -234,19 +237,20 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, key: str = "doc_id", text: str = "text",
-         block_tokens: int = BLOCK_TOKENS, with_ids: bool = True) -> DataFrame:
+         block_tokens: int = BLOCK_TOKENS, with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``size`` tokens.
 
     Documents keep the order of the input within a task; every task has its own sequences,
     numbered from its partition. A null or empty text is the end token alone; a null id
     stays null; repeated rows are packed as often as they occur; an empty input gives no
     rows. Only ``key`` and ``text`` are read. With ``with_ids`` the token ids come along.
+    ``cache_words`` bounds the words whose ids a worker remembers; it changes no result.
     """
     types = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
              ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, cache_words)
         packer = Packer(size, TaskContext.get().partitionId() << 33, with_ids)
 
         def rows(pieces):
@@ -280,4 +284,4 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the pieces of the sequences."""
-    return pack(docs, vocabulary(), with_ids=False)
+    return pack(docs, vocabulary(), with_ids=False, cache_words=STAGE_CACHE_WORDS)
