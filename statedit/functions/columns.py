@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: largest amount an editor may enter.
 MAX_AMOUNT = 999_999_999_999
@@ -27,11 +28,41 @@ def matches(filters: Mapping[str, Any] | None) -> Column:
 
 
 def coerce_numeric(c: Column | str, default: int | None = None) -> Column:
-    """Text to whole number, truncating; unreadable or missing text gives ``default``."""
-    number = _col(c).try_cast("double").try_cast("bigint")
+    """Text to whole number, truncating; unreadable or missing text gives ``default``.
+
+    The way is a decimal, so that every digit of a bigint is kept.
+    """
+    number = _col(c).try_cast("decimal(38,18)").try_cast("bigint")
     return number if default is None else F.coalesce(number, F.lit(default).cast("bigint"))
 
 
+def _amount_type(df: DataFrame, column: str) -> tuple[int, int]:
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.precision, kind.scale
+    return (20, 0) if isinstance(kind, T.IntegralType) else (28, 6)
+
+
+def exact_amount(df: DataFrame, column: str = "amount") -> Column:
+    """An amount as a decimal of its own scale; unreadable text is null.
+
+    Text and doubles get six decimals. An amount beyond the type fails the job instead of
+    being counted wrong.
+    """
+    precision, scale = _amount_type(df, column)
+    kind = f"decimal({precision},{scale})"
+    amount = F.col(column)
+    if df.schema[column].dataType == T.StringType():
+        readable = F.trim(amount).try_cast("double").isNotNull()
+        return F.when(readable, F.trim(amount).cast(kind))
+    return amount.cast(kind)
+
+
+def total_type(df: DataFrame, column: str = "amount") -> str:
+    """Type of a sum of ``exact_amount``."""
+    return f"decimal(38,{_amount_type(df, column)[1]})"
+
+
 def clean_whitespace(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"\s+", "")
 

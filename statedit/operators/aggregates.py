@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import coerce_numeric, matches, percent_change
+from ..functions.columns import coerce_numeric, exact_amount, matches, percent_change, total_type
 from ..functions.frames import attach, one_per_key
 from ..functions.ordered import exact_quantiles, rank_within, running_total
 from ..schema import UNTREATED
@@ -120,7 +120,7 @@ def units_in_region(obs: DataFrame, municipalities: DataFrame, variable: str, mu
 
 def wide_statement(ledger: DataFrame, accounts: Sequence[str]) -> DataFrame:
     """One row per submission, one summed column per known account."""
-    amount = F.col("amount").cast("decimal(38,2)")
+    amount = exact_amount(ledger)
     return ledger.groupBy("seq").agg(
         *[F.sum(F.when(F.col("account") == a, amount)).alias(a) for a in accounts]
     )
@@ -137,19 +137,28 @@ def variables_side_by_side(obs: DataFrame, variables: Sequence[str], ref: str |
     )
 
 
-def control_overview(controls: DataFrame, hits: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Per control: hits, and hits on active responses nobody has worked on yet."""
+def control_overview(
+    controls: DataFrame, hits: DataFrame, receipts: DataFrame, keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Per row of the catalogue: hits, and hits on active responses nobody has worked on yet.
+
+    ``keys`` is the catalogue's key; by default what both sides have of period, form and
+    control, so that a control's hits of one period do not count in another.
+    """
+    if keys is None:
+        keys = [c for c in ("period", "form", "control_id") if c in controls.columns and c in hits.columns]
     if "status" in receipts.columns:
         untreated = F.col("status") == UNTREATED
     else:
         untreated = F.col("edited") == F.lit(False)
     open_refs = receipts.where(F.col("active") & untreated).select("unit", "ref").distinct()
-    fired = hits.where(F.col("hit")).select("control_id", "unit", "ref")
-    n_open = fired.join(open_refs, ["unit", "ref"]).groupBy("control_id").agg(F.count("*").alias("n_untreated"))
-    n_hits = fired.groupBy("control_id").agg(F.count("*").alias("n_hits"))
+    fired = hits.where(F.col("hit")).select(*keys, "unit", "ref")
+    counts = fired.join(open_refs.withColumn("__open", F.lit(1)), ["unit", "ref"], "left").groupBy(*keys).agg(
+        F.count("*").alias("n_hits"), F.count("__open").alias("n_untreated")
+    )
     zero = F.lit(0).cast("bigint")
     return (
-        controls.join(n_hits, "control_id", "left").join(n_open, "control_id", "left")
+        controls.join(counts, list(keys), "left")
         .withColumn("n_hits", F.coalesce("n_hits", zero))
         .withColumn("n_untreated", F.coalesce("n_untreated", zero))
     )
@@ -191,13 +200,13 @@ def section_totals(
 ) -> DataFrame:
     """Signed sums per section, per heading and for the derived result.
 
-    One aggregate per submission over all sections, in whole cents so that the sums are
-    plain longs; the lines are unfolded afterwards. A section without accounts counts as
-    0, and a zero line is shown as null.
+    One aggregate per submission over all sections, in exact decimals; the lines are
+    unfolded afterwards. A section without accounts counts as 0, and a zero line is shown
+    as null.
     """
     _, name = section_columns(sections, F.col("account"))
-    cents = (F.col("amount").cast("decimal(30,2)") * 100).cast("bigint")
-    amount = F.coalesce(cents, F.lit(0).cast("bigint"))
+    amount = exact_amount(ledger)
+    amount = F.coalesce(amount, F.lit(0))
     signed = F.when(F.col("account").isin(list(contra)), -amount).otherwise(amount)
     rows = ledger.select(*keys, name.alias("__s"), signed.alias("__v"))
     sums = rows.groupBy(*keys).agg(
@@ -220,7 +229,7 @@ def section_totals(
     unfolded = F.inline(F.array(*[
         F.struct(
             F.lit(kind).alias("kind"), F.lit(h).alias("heading"), F.lit(n).alias("section"),
-            F.when(v != 0, (v.cast("decimal(20,0)") / 100).cast("decimal(38,2)")).alias("amount"),
+            F.when(v != 0, v.cast(total_type(ledger))).alias("amount"),
         )
         for kind, h, n, v in lines
     ]))

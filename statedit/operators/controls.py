@@ -113,25 +113,24 @@ def _columns_ok(result: Any, meta: Mapping[str, Any], periods: Sequence[str]) ->
     return result
 
 
-def _check(results: Sequence[tuple[Mapping[str, Any], DataFrame]], scope: Mapping[str, Any], periods: Sequence[str]) -> None:
-    """One job over the results of all controls; raises on the first broken promise.
+def _check(rows: DataFrame, names: Sequence[str], scope: Mapping[str, Any], periods: Sequence[str]) -> None:
+    """One job and one scan of ``rows``, the results of all controls; raises on the first broken promise.
 
-    Results are reduced per (control, periods, unit, ref) and then per control, so only
-    one row per control reaches the driver.
+    ``__i`` tells the place of a row's control in ``names``. Results are reduced per
+    (control, periods, unit, ref) and then per control, so only one row per control
+    reaches the driver.
     """
     cols = list(scope)
-    parts = []
-    for meta, df in results:
-        lacking = [c for c in cols if c not in df.columns]
-        if lacking:
-            raise ValueError(f"Scope columns {lacking} are missing in the result of {meta['control_id']!r}")
-        parts.append(df.select(
-            F.lit(meta["control_id"]).alias("__id"), *[F.col(p).alias(f"__p_{p}") for p in periods],
-            "unit", "ref", F.col("control_id").cast("string").alias("__c"),
-            *[F.col(c).cast("string").alias(f"__s_{c}") for c in cols],
-        ))
+    lacking = [c for c in cols if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"Scope columns {lacking} are missing in the result of {', '.join(map(repr, names))}")
+    checked = rows.select(
+        F.array(*[F.lit(n) for n in names])[F.col("__i")].alias("__id"), *[F.col(p).alias(f"__p_{p}") for p in periods],
+        "unit", "ref", F.col("control_id").cast("string").alias("__c"),
+        *[F.col(c).cast("string").alias(f"__s_{c}") for c in cols],
+    )
     watched = ["__c", *[f"__s_{c}" for c in cols]]
-    per_key = union_results(parts).groupBy("__id", *[f"__p_{p}" for p in periods], "unit", "ref").agg(
+    per_key = checked.groupBy("__id", *[f"__p_{p}" for p in periods], "unit", "ref").agg(
         F.count("*").alias("n"),
         *[f(w).alias(f"{tag}{w}") for w in watched for tag, f in (("lo", F.min), ("hi", F.max), ("n", F.count))],
     )
@@ -141,8 +140,7 @@ def _check(results: Sequence[tuple[Mapping[str, Any], DataFrame]], scope: Mappin
     )
     found = {r["__id"]: r for r in summary.collect()}
     expected = {f"__s_{c}": str(v[0] if isinstance(v, (list, tuple)) else v) for c, v in scope.items()}
-    for meta, _ in results:
-        name = meta["control_id"]
+    for name in names:
         row = found.get(name)
         if row is None:
             raise ValueError(f"Control {name!r} returned no rows; every response needs a row, hit or not")
@@ -166,7 +164,7 @@ def validate_result(result: DataFrame, meta: Mapping[str, Any], scope: Mapping[s
     with any other scope value is an error and not filtered here.
     """
     result = _columns_ok(result, meta, periods)
-    _check([(meta, result)], scope, periods)
+    _check(result.withColumn("__i", F.lit(0)), [meta["control_id"]], scope, periods)
     return result
 
 
@@ -182,10 +180,7 @@ def run_controls(controls: Iterable[ControlFunction], context: ControlContext) -
         ))
     # The results are used twice (check and sync): compute the controls only once.
     stored = materialize(union_results(tagged))
-    _check(
-        [(meta, stored.where(F.col("__i") == i)) for i, (meta, _) in enumerate(results)],
-        context.scope, context.periods,
-    )
+    _check(stored, [meta["control_id"] for meta, _ in results], context.scope, context.periods)
     return stored.drop("__i")
 
 
@@ -242,26 +237,34 @@ def large_change(ctx: ControlContext) -> DataFrame:
     """Hit where a variable changed by more than ``limit`` per cent (100 by default).
 
     Only units with both values above zero are judged. ``value`` is the change in per
-    cent, truncated.
+    cent, truncated. Without the option ``variable`` every variable is judged, and a
+    unit's row shows its largest change.
     """
     period = _single(ctx.scope["period"])
     variable, limit = ctx.options.get("variable"), ctx.options.get("limit", 100)
     rest = {k: v for k, v in ctx.scope.items() if k != "period"}
     both = {**rest, "period": [period, period - 1]}
-    obs = ctx.table("observations").where(matches({**both, "variable": variable}))
+    chosen = both if variable is None else {**both, "variable": variable}
+    obs = ctx.table("observations").where(matches(chosen))
     latest = latest_active_per_period(ctx.table("receipts"), filters=both)
-    narrow = obs.select("period", "form", "unit", "ref", F.col("value").try_cast("double").alias("__v"))
+    keys = ["unit", "variable"] if variable is None else ["unit"]
+    narrow = obs.select("period", "form", "ref", *keys, F.col("value").try_cast("double").alias("__v"))
     # A unit has one response per period now, so one aggregate sets them side by side.
     now, v = F.col("period") == period, F.col("__v")
-    pairs = responses_in(narrow, latest).groupBy("unit").agg(
+    pairs = responses_in(narrow, latest).groupBy(*keys).agg(
         F.max(F.when(now, F.struct("form", "ref"))).alias("__r"),
         F.max(F.when(now, v)).alias("__cur"), F.max(F.when(~now, v)).alias("__prev"),
     )
     # Filters may be reordered, so the division must stand a zero that a filter excludes.
     percent = F.try_divide(change("__cur", "__prev"), F.col("__prev")) * 100
-    return pairs.where("__cur > 0 and __prev > 0").select(
-        F.lit(period).alias("period"), "__r.form", "unit", "__r.ref", (F.abs(percent) > limit).alias("hit"),
-        percent.try_cast("int").alias("value"),
+    judged = pairs.where("__cur > 0 and __prev > 0").select("unit", "__r", percent.alias("__pct"))
+    if variable is None:
+        judged = judged.groupBy("unit").agg(
+            F.max("__r").alias("__r"), F.max(F.struct(F.abs("__pct").alias("size"), "__pct"))["__pct"].alias("__pct")
+        )
+    return judged.select(
+        F.lit(period).alias("period"), "__r.form", "unit", "__r.ref", (F.abs("__pct") > limit).alias("hit"),
+        F.col("__pct").try_cast("int").alias("value"),
     )
 
 

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.columns import matches
+from ..functions.columns import exact_amount, matches
 from ..scratch import small_table
 
 RULE_SCHEMA = (
@@ -52,11 +51,15 @@ def rule_terms(spark: SparkSession, rules: Sequence[SumRule]) -> DataFrame:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Long-form rules from JSON lines
     ``{control_id, theme, category, description, lhs, threshold, terms: [{account, sign}]}``.
+
+    A line that cannot be read and a rule without a threshold fail the job.
     """
     raw = spark.read.schema(
         "control_id string, theme string, category string, description string, lhs string, "
         "threshold double, terms array<struct<account: string, sign: int>>"
-    ).json(path)
+    ).json(path, mode="FAILFAST")
+    missing = F.raise_error(F.lit("A sum rule has no threshold.")).cast("double")
+    raw = raw.withColumn("threshold", F.coalesce("threshold", missing))
     sides = F.concat(
         F.array(F.struct(F.col("lhs").alias("account"), F.lit(1).alias("coef"))),
         F.transform("terms", lambda t: F.struct(t["account"].alias("account"), (-t["sign"]).alias("coef"))),
@@ -80,38 +83,26 @@ def section_rule(
     )
 
 
-def cents(df: DataFrame, column: str = "amount") -> Column:
-    """Amount in whole cents; missing or unreadable text counts as 0.
-
-    Longs keep the sums in the hash aggregate's fast path. An amount beyond
-    9e16 fails the job instead of being counted wrong.
-    """
-    amount = F.col(column)
-    if df.schema[column].dataType == T.StringType():
-        amount = F.trim(amount).try_cast("decimal(38,2)")
-    amount = F.coalesce(amount.cast("decimal(36,2)"), F.lit(0).cast("decimal(36,2)"))
-    return (amount * 100).cast("bigint")
-
-
 def evaluate_sum_rules(ledger: DataFrame, rules: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Hits ``(control_id, seq, hit, value)`` where ``abs(lhs - sum) > threshold``.
 
     The ledger stays long: each amount meets the rules that name its account, and one
     aggregate per (submission, rule) adds the signed amounts. One shuffle for any number
-    of rules, partial sums before it. ``scope`` restricts to submissions by ``seq``.
+    of rules, partial sums before it. ``scope`` restricts to submissions by ``seq``. The
+    sums are exact decimals; a missing or unreadable amount counts as 0.
     """
     rows = ledger if scope is None else ledger.join(scope.select("seq"), "seq", "left_semi")
     # A theme on both sides keeps rules of one statement away from the other's ledger.
     on = ["account", "theme"] if "theme" in ledger.columns and "theme" in rules.columns else ["account"]
-    signed = rows.select(*on, "seq", cents(rows).alias("__a")).join(
+    signed = rows.select(*on, "seq", F.coalesce(exact_amount(rows), F.lit(0)).alias("__a")).join(
         rules.select(*on, "control_id", "threshold", "coef"), on
     )
     diff = signed.groupBy("seq", "control_id").agg(
         F.sum(F.col("__a") * F.col("coef")).alias("diff"),
-        (F.max("threshold") * 100).alias("limit"),
+        F.max("threshold").cast("decimal(28,6)").alias("limit"),
     )
     return diff.where(F.abs("diff") > F.col("limit")).select(
-        "control_id", "seq", F.lit(True).alias("hit"), (F.col("diff") / 100.0).alias("value")
+        "control_id", "seq", F.lit(True).alias("hit"), F.col("diff").cast("double").alias("value")
     )
 
 

@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import change
+from ..functions.columns import change, exact_amount, total_type
 from .aggregates import CONTRA_ACCOUNTS, section_totals
 from .filters import HEADINGS, PETROLEUM_ACCOUNTS, exclude_codes, filter_reported
 from .joins import Section
 from .latest import latest_comment
 
-MAX_CATALOGUE_LINES = 10_000
+#: Lines of the catalogue that are unfolded from one array.
+PAGE_LINES = 500
 
 # The account line after which a sum line is shown.
 SUM_ANCHORS = {
@@ -39,39 +40,48 @@ SUM_ANCHORS = {
 }
 
 
-def catalogue_lines(catalogue: DataFrame):
-    """The catalogue ``(line_no, account, text)`` as one array, from a single-row subquery.
+def catalogue_pages(catalogue: DataFrame, page_lines: int = PAGE_LINES) -> tuple[DataFrame, int]:
+    """The catalogue ``(line_no, account, text)`` as pages of about ``page_lines`` lines, and their number.
 
-    A chart of accounts has a few hundred lines; more than ``MAX_CATALOGUE_LINES`` is an
-    error, so the array stays small.
+    Counts the catalogue right away.
     """
+    pages = max(1, -(-catalogue.count() // page_lines))
     line = F.struct(
         F.col("line_no").cast("int").alias("line_no"),
         F.col("account").cast("string").alias("account"), F.col("text").alias("description"),
     )
-    collected = catalogue.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("lines"))
-    checked = F.when(
-        F.col("n") > MAX_CATALOGUE_LINES, F.raise_error(F.lit("The account catalogue is too long."))
-    ).otherwise(F.col("lines"))
-    return collected.select(checked.alias("lines")).scalar()
+    page = F.pmod(F.xxhash64(line), F.lit(pages)).cast("int")
+    return catalogue.groupBy(page.alias("__page")).agg(F.collect_list(line).alias("__lines")), pages
 
 
 def statement(ledger: DataFrame, catalogue: DataFrame, submissions: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """All catalogue lines of each submission with amount, compared amount and difference.
 
     ``submissions(seq, compare_seq, unit)`` names what to show; ``compare_seq`` may be
-    null. Many submissions are built at once, keyed by ``seq``.
+    null. Many submissions are built at once, keyed by ``seq``: of the ledger only theirs
+    and the compared ones are read, as one map of sums by account each, and the lines
+    are unfolded last, page by page of the catalogue.
     """
-    lines = submissions.select("seq", "compare_seq", "unit", F.inline(catalogue_lines(catalogue)))
-    amounts = ledger.groupBy("seq", "account").agg(F.sum(F.col("amount").cast("decimal(38,2)")).alias("value"))
+    wanted = submissions.select(F.explode(F.array("seq", "compare_seq")).alias("seq")).where("seq is not null").distinct()
+    sums = (
+        ledger.where(F.col("account").isNotNull()).join(wanted, "seq", "left_semi")
+        .groupBy("seq", "account").agg(F.sum(exact_amount(ledger)).alias("value"))
+        .groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("account", "value"))).alias("__own"))
+    )
     # A submission without a partner is joined to itself and blanked: null keys would all
     # land in the same few partitions.
     paired = F.col("compare_seq").isNotNull()
-    own = lines.join(amounts, ["seq", "account"], "left").withColumn("__c", F.coalesce("compare_seq", "seq"))
-    compared = amounts.select(F.col("seq").alias("__c"), "account", F.col("value").alias("compare_value"))
+    pages, n_pages = catalogue_pages(catalogue)
+    both = (
+        submissions.select("seq", "compare_seq", "unit", F.coalesce("compare_seq", "seq").alias("__c"))
+        .join(sums, "seq", "left").join(sums.toDF("__c", "__other"), "__c", "left")
+        .withColumn("__other", F.when(paired, F.col("__other")))
+    )
+    lines = both.withColumn("__page", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)))).join(pages, "__page")
     out = (
-        own.join(compared, ["__c", "account"], "left")
-        .withColumn("compare_value", F.when(paired, F.col("compare_value")))
+        lines.select("seq", "compare_seq", "unit", "__own", "__other", F.inline("__lines"))
+        .withColumn("value", F.try_element_at("__own", F.col("account")))
+        .withColumn("compare_value", F.try_element_at("__other", F.col("account")))
         .withColumn("diff", F.when(paired, change("value", "compare_value")))
     )
     if comments is not None:
@@ -117,8 +127,8 @@ def statement_with_sections(
         .select(
             "seq", "compare_seq", "unit", "line_no", F.lit("").alias("account"),
             F.concat(F.lit("SUM forslag for "), F.col("section")).alias("description"),
-            F.col("amount").alias("value"), F.lit(None).cast("decimal(38,2)").alias("compare_value"),
-            F.lit(None).cast("decimal(38,2)").alias("diff"),
+            F.col("amount").alias("value"), F.lit(None).cast(total_type(ledger)).alias("compare_value"),
+            F.lit(None).cast(total_type(ledger)).alias("diff"),
             *([F.lit(None).cast("string").alias("comment")] if comments is not None else []),
             "kind", rank_of[F.col("kind")].alias("rank"),
         )

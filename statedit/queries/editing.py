@@ -16,7 +16,9 @@ from ..plans.period_report import period_report
 from ..plans.rule_run import period_hits, run_rules_for_changes, run_rules_for_period, run_rules_for_submission
 from ..scratch import scratch_path
 from ..sources import logs, tables
-from ..streaming.receipts import current_latest_active, stream_daily_receipts, stream_latest_active
+from ..streaming.receipts import (
+    current_daily_receipts, current_latest_active, stream_daily_receipts, stream_latest_active,
+)
 from .registry import query
 from .totals import ACTIVE_SQL
 
@@ -106,20 +108,26 @@ def sync_hits(v):
 
 
 @query(f"""
-    WITH {CONTROL_SQL.format(limit=100)}, c AS (SELECT DISTINCT control_id FROM results)
-    SELECT c.control_id, count(*) FILTER (h.hit) AS n_hits,
+    WITH {CONTROL_SQL.format(limit=100)},
+    h AS (SELECT period, ref, unit, control_id, hit FROM results
+          UNION ALL SELECT period, ref, unit, 'new_unit', true FROM receipts WHERE period <> 1998),
+    c AS (SELECT DISTINCT period, control_id FROM h)
+    SELECT c.period, c.control_id, count(*) FILTER (h.hit) AS n_hits,
            count(*) FILTER (h.hit AND r.active AND r.status = 'Ubehandlet') AS n_untreated
-    FROM c LEFT JOIN results h USING (control_id) LEFT JOIN receipts r ON r.ref = h.ref AND r.unit = h.unit
-    GROUP BY 1""", "receipts observations latest_per_period")
+    FROM c LEFT JOIN h USING (period, control_id) LEFT JOIN receipts r ON r.ref = h.ref AND r.unit = h.unit
+    GROUP BY 1, 2""", "receipts observations latest_per_period")
 def control_run_overview(v):
-    """Register, run, check and sync against empty tables, then the overview."""
-    empty = v.receipts().where("false")
-    catalogue = empty.select("period", *[F.lit("").alias(c) for c in ("control_id", "kind", "description", "sort_by", "sort_order")])
-    hits = empty.select(
-        "period", "form", "unit", "ref", F.lit("").alias("control_id"), F.lit(True).alias("hit"), F.lit(0).alias("value")
+    """Register, run, check and sync against stored controls and hits of the other years, then the overview."""
+    meta = C.new_unit.control_meta
+    others = v.receipts().where("period <> 1998")
+    catalogue = others.select("period").distinct().select(
+        "period", *[F.lit(meta[c]).alias(c) for c in ("control_id", "kind", "description", "sort_by", "sort_order")]
+    )
+    hits = others.select(
+        "period", "form", "unit", "ref", F.lit("new_unit").alias("control_id"), F.lit(True).alias("hit"), F.lit(0).alias("value")
     )
     run = run_control_suite(C.find_controls(C), _context(v), catalogue, hits)
-    return run.overview(v.receipts()).select("control_id", "n_hits", "n_untreated")
+    return run.overview(v.receipts()).select("period", "control_id", "n_hits", "n_untreated")
 
 
 # --- sum rules -------------------------------------------------------------------------
@@ -622,6 +630,17 @@ def streamed_latest(v):
     return current_latest_active(v.spark, f"{root}/latest")
 
 
+@query("SELECT CAST(received_at AS DATE) AS day, count(*) AS n FROM receipts GROUP BY 1", "receipts", "stream_all_days")
+def streamed_all_days(v):
+    """Complete daily counts of a stream that was stopped and started anew with a fresh checkpoint."""
+    root = scratch_path(v.spark, "stream")
+    stream = _receipt_stream(v, root)
+    for turn in range(2):
+        run = stream_latest_active(stream, f"{root}/latest", f"{root}/state-{turn}", 3, availableNow=True)
+        run.awaitTermination()
+    return current_daily_receipts(v.spark, f"{root}/latest")
+
+
 def _receipt_stream(v, root):
     """The receipts as arriving files: one per period, oldest first."""
     path = f"{root}/in"

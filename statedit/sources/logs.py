@@ -51,7 +51,7 @@ def read_change_log(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.text(path).where(F.trim("value") != "").head()
     first = head[0].strip() if head else ""
     document = first.startswith("[") or first == "{"
-    rows = spark.read.schema(f"{LOG_SCHEMA}, seq long").json(path, multiLine=document)
+    rows = spark.read.schema(f"{LOG_SCHEMA}, seq long").json(path, multiLine=document, mode="FAILFAST")
     # monotonically_increasing_id follows the position in the file within each split.
     return rows.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
 

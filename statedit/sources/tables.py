@@ -63,8 +63,11 @@ def read_parquet_checked(spark: SparkSession, path: str, id_vars: Sequence[str],
 def read_delimited(
     spark: SparkSession, paths: str | Sequence[str], schema: str, sep: str = ";", header: bool = True
 ) -> DataFrame:
-    """One or more delimited files with one schema; empty text stays empty and is never null."""
-    raw = spark.read.schema(schema).options(sep=sep, header=header, enforceSchema=False).csv(
+    """One or more delimited files with one schema; empty text stays empty and is never null.
+
+    A cell that does not fit its type fails the job.
+    """
+    raw = spark.read.schema(schema).options(sep=sep, header=header, enforceSchema=False, mode="FAILFAST").csv(
         [paths] if isinstance(paths, str) else list(paths)
     )
     return raw.fillna("")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import one_per_key
+from ..operators.aggregates import daily_receipts
 from ..operators.latest import latest_active
 from ..sources.tables import path_exists
 
@@ -16,7 +17,8 @@ def stream_daily_receipts(receipts: DataFrame, watermark: str = "2 days") -> Dat
     """Responses per calendar day; a day is final once the watermark has passed its end.
 
     Works in append mode: state holds one count per open day, and responses later than
-    the watermark no longer change a day that was sent out.
+    the watermark no longer change a day that was sent out. ``current_daily_receipts``
+    has the complete counts, late responses and open days included.
     """
     # Windows of a day start at midnight UTC, so the local clock time is put on that scale.
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -31,38 +33,54 @@ def stream_daily_receipts(receipts: DataFrame, watermark: str = "2 days") -> Dat
     )
 
 
-def latest_active_writer(target: str, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
+def latest_active_writer(
+    target: str, compact_every: int = 20, checkpoint: str | None = None
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps all responses at ``target``, newest state each.
 
     A batch is written as a small ``delta``; every ``compact_every`` batches the deltas
     are merged into a ``full`` table, so a batch costs what it holds and not what the
-    table holds. Both are named after the batch id and written over when a batch is
-    repeated after a failure, always from what came before it: repeating changes nothing.
+    table holds. Folders are numbered by the target, so a stream that starts anew with a
+    fresh ``checkpoint`` goes on behind what is stored. Their names also hold the stream
+    and its batch id: a batch that is repeated after a failure takes its number again and
+    is written over, from what came before it, so repeating changes nothing. One stream
+    writes to a target at a time.
 
     Inactive responses are kept, so that switching a response off brings back the
-    unit's earlier one.
+    unit's earlier one. Of rows of one response in one batch the latest received counts;
+    of equal times, an inactive one.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id % compact_every:
-            _newest_state(batch.withColumn("__b", F.lit(batch_id))).drop("__b").write.mode("overwrite").parquet(
-                f"{target}/delta-{batch_id:012d}"
-            )
+        tag = f"{_stream_id(spark, checkpoint)}-{batch_id}"
+        folders = _folders(spark, target)
+        again = [n for (n, _), folder in folders.items() if folder.endswith(f"-{tag}")]
+        number = max(again) if again else max((n for n, _ in folders), default=-1) + 1
+        rows = batch.withColumn("__b", F.lit(number))
+        if number % compact_every:
+            _newest_state(rows).drop("__b").write.mode("overwrite").parquet(f"{target}/delta-{number:012d}-{tag}")
             return
-        rows = batch.withColumn("__b", F.lit(batch_id))
-        stored = _stored(spark, target, before=batch_id)
+        stored = _stored(spark, target, before=number)
         if stored is not None:
             rows = rows.unionByName(stored)
-        _newest_state(rows).drop("__b").write.mode("overwrite").parquet(f"{target}/full-{batch_id:012d}")
+        _newest_state(rows).drop("__b").write.mode("overwrite").parquet(f"{target}/full-{number:012d}-{tag}")
         # The previous full table stays, for readers that are still on it.
-        _remove(spark, target, before=batch_id - compact_every)
+        _remove(spark, target, before=number - compact_every)
 
     return write
 
 
+def _stream_id(spark: SparkSession, checkpoint: str | None) -> str:
+    """The id that a stream keeps in its checkpoint, without dashes; a fresh checkpoint has another."""
+    if checkpoint is None:
+        return "batches"
+    stored = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()
+    return stored["id"].replace("-", "")
+
+
 def stream_latest_active(receipts: DataFrame, target: str, checkpoint: str, compact_every: int = 20, **trigger):
-    """Start the stream; read the result with ``current_latest_active``."""
-    writer = receipts.writeStream.foreachBatch(latest_active_writer(target, compact_every))
+    """Start the stream; read the result with ``current_latest_active`` or ``current_daily_receipts``."""
+    writer = receipts.writeStream.foreachBatch(latest_active_writer(target, compact_every, checkpoint))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
@@ -73,29 +91,40 @@ def current_latest_active(spark: SparkSession, target: str, **options) -> DataFr
     return None if stored is None else latest_active(_newest_state(stored).drop("__b"), **options)
 
 
+def current_daily_receipts(spark: SparkSession, target: str) -> DataFrame | None:
+    """Responses per day over everything received so far; None before the first batch.
+
+    Late responses and open days count as well; a response that came in twice counts
+    once, on the day of its newest state.
+    """
+    stored = _stored(spark, target)
+    return None if stored is None else daily_receipts(_newest_state(stored))
+
+
 def _newest_state(rows: DataFrame) -> DataFrame:
     """One row per response: the state from the latest batch."""
+    key = [c for c in ("period", "form", "unit", "ref") if c in rows.columns]
     order = [F.col("__b").desc(), F.col("received_at").desc_nulls_last(), F.col("active").asc()]
-    return one_per_key(rows, ["ref"], order)
+    return one_per_key(rows, key, order)
 
 
 def _folders(spark: SparkSession, target: str) -> dict[tuple[int, str], str]:
-    """Complete folders below ``target`` by (batch id, kind)."""
+    """Complete folders below ``target`` by (number, kind)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return {}
     found = {}
     for status in fs.listStatus(path):
-        kind, _, number = status.getPath().getName().partition("-")
+        kind, *rest = status.getPath().getName().split("-")
         folder = status.getPath().toString()
         if kind in ("full", "delta") and path_exists(spark, f"{folder}/_SUCCESS"):
-            found[int(number), kind] = folder
+            found[int(rest[0]), kind] = folder
     return found
 
 
 def _stored(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest full table and the deltas after it, tagged with their batch id."""
+    """The newest full table and the deltas after it, tagged with their number."""
     found = {k: v for k, v in _folders(spark, target).items() if before is None or k[0] < before}
     start = max((n for n, kind in found if kind == "full"), default=-1)
     frames = [

@@ -2,8 +2,9 @@ import datetime
 
 import pytest
 
-
-from statedit.streaming.receipts import current_latest_active, latest_active_writer, stream_daily_receipts
+from statedit.streaming.receipts import (
+    current_daily_receipts, current_latest_active, latest_active_writer, stream_daily_receipts, stream_latest_active,
+)
 
 SCHEMA = "unit string, ref string, active boolean, received_at timestamp"
 
@@ -34,6 +35,21 @@ def test_latest_active_over_batches(spark, tmp_path, rows):
     assert len(list((tmp_path / "latest").iterdir())) < 8
 
 
+def test_a_fresh_checkpoint_keeps_what_is_stored(spark, tmp_path, rows):
+    target = str(tmp_path / "latest")
+    for run in range(2):
+        source = str(tmp_path / f"in{run}")
+        for i in range(5):
+            one = batch(spark, (f"u{run}{i}", f"r{run}{i}", True, 1 + i, 0)).coalesce(1)
+            one.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        stream_latest_active(stream, target, str(tmp_path / f"state{run}"), 3, availableNow=True).awaitTermination()
+        expected = sorted((f"r{r}{i}",) for r in range(run + 1) for i in range(5))
+        assert rows(current_latest_active(spark, target), "ref") == expected
+    days = [(str(d), n) for d, n in rows(current_daily_receipts(spark, target))]
+    assert days == [(f"2024-01-0{1 + i}", 2) for i in range(5)]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
 def test_daily_counts_close_with_the_watermark(spark, tmp_path, zone):
     """Days are calendar days of the session's clock; the data lies 9 hours later in Tokyo."""

@@ -170,10 +170,23 @@ def test_statement_with_sections(spark):
     assert blank.where("seq = 3 and kind = 'account'").count() == 5
 
 
-def test_a_catalogue_that_is_no_catalogue(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_CATALOGUE_LINES", 3)
-    with pytest.raises(Exception, match="too long"):
-        S.statement(*book(spark)).collect()
+def test_a_long_catalogue(spark):
+    ledger, _, submissions = book(spark)
+    long = spark.range(20_000).selectExpr("int(id) AS line_no", "string(id) AS account", "concat('line ', id) AS text")
+    out = S.statement(ledger, long, submissions)
+    assert out.count() == 40_000 and out.select("seq", "line_no").distinct().count() == 40_000
+    assert [(r.seq, r.value, r.compare_value) for r in out.where("account = '3000'").orderBy("seq").collect()] == [
+        (1, 100, 80), (3, 1, None)
+    ]
+
+
+def test_amounts_keep_their_decimals(spark):
+    ledger = spark.sql("""
+        SELECT 1L AS seq, account, CAST(amount AS decimal(20,4)) AS amount
+        FROM VALUES ('3000', '0.0049'), ('3000', '0.0049'), ('3001', '90000000000000000.0001') AS t(account, amount)""")
+    out = A.section_totals(ledger, A.INCOME_SECTIONS).where("kind = 'section' and section = 'salgsinntekter'")
+    assert str(out.first().amount) == "90000000000000000.0099"
+    assert str(A.wide_statement(ledger, ["3000"]).first()["3000"]) == "0.0098"
 
 
 COMMENTS = "id long, unit string, level string, variable string, comment string, active boolean"
