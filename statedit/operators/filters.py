@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import NUMERIC_TYPES
+from .quality import types_per_variable
 
 # Heading texts that stay visible in a statement without amounts.
 HEADINGS = (

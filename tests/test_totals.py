@@ -182,7 +182,7 @@ def test_a_long_catalogue(spark):
 
 def test_amounts_keep_their_decimals(spark):
     ledger = spark.sql("""
-        SELECT 1L AS seq, account, CAST(amount AS decimal(20,4)) AS amount
+        SELECT 1L AS seq, account, CAST(amount AS decimal(24,4)) AS amount
         FROM VALUES ('3000', '0.0049'), ('3000', '0.0049'), ('3001', '90000000000000000.0001') AS t(account, amount)""")
     out = A.section_totals(ledger, A.INCOME_SECTIONS).where("kind = 'section' and section = 'salgsinntekter'")
     assert str(out.first().amount) == "90000000000000000.0099"
