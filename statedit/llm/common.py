@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "table", "crc_of_id", "word_spans", "shingle_hashes", "mix", "texts_of"]
+__all__ = ["materialize", "scratch_path", "table", "crc_of_id", "word_spans", "word_hashes", "shingle_hashes", "mix",
+           "texts_of", "bounded_parts", "best_of_groups"]
 
 #: Words of a shingle, and the similarity from which documents count as near copies.
 SHINGLE_WORDS = 5
@@ -75,6 +76,35 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return h
 
 
+word_hashes = _word_hashes
+
+
+def bounded_parts(rows: DataFrame, key: str, weight: str, bound: int) -> tuple[DataFrame, int]:
+    """Stored ``rows`` (``key`` is unique) with a column ``part``, and the number of parts.
+
+    No part weighs more than ``bound`` unless it is a single row: this is counted, and the
+    number of parts doubles until it holds.
+    """
+    rows = materialize(rows)
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    parts = max(1, -(-total // bound))
+    while True:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64(key, F.lit(parts)), F.lit(parts)))
+        size = dealt.groupBy("part").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).where("n > 1").agg(F.max("w"))
+        if (size.first()[0] or 0) <= bound:
+            return dealt, parts
+        parts *= 2
+
+
+def best_of_groups(group: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first ``k`` of each group by higher score, then smaller ``tie``; groups ascend."""
+    order = np.lexsort((tie, -score, group))
+    g = group[order]
+    start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+    rank = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+    return order[rank < k]
+
+
 def _batches(texts: Sequence[bytes], limit: int) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
