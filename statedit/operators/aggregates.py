@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import coerce_numeric, exact_amount, matches, percent_change, total_type
 from ..functions.frames import attach, one_per_key
 from ..functions.ordered import exact_quantiles, rank_within, running_total
+from ..functions.periods import BY_POSITION, YEARLY, Spine
 from ..schema import UNTREATED
 from ..scratch import settle
 from .filters import attribute, keep_numeric_variables
@@ -56,23 +57,28 @@ RESULT_NAME = "årsresultat"
 
 
 def period_totals(
-    obs: DataFrame, receipts: DataFrame, types: DataFrame, period: int, form: str | None = None
+    obs: DataFrame, receipts: DataFrame, types: DataFrame, period: Any, form: str | None = None,
+    spine: Spine = YEARLY, by: str = BY_POSITION, table_name: str | None = None,
 ) -> DataFrame:
     """Totals per numeric variable, this period and the one before, with the change.
 
     Only the latest active response of each unit and period counts. Columns are the
-    variable, one total per period named after it, ``diff`` and ``pdiff``.
+    variable, one total per period named after it, ``diff`` and ``pdiff``. ``spine`` has
+    the period columns and says, with ``by``, which period lies before; where none does,
+    its total is null and named ``previous``.
     """
-    periods = [period, period - 1]
-    latest = latest_active_per_period(receipts, form, {"period": periods})
+    this, before = spine.period(period), spine.previous(period, by)
+    names = {this: spine.label(this), before: "previous" if before is None else spine.label(before)}
+    wanted = spine.is_in([this, before])
+    latest = latest_active_per_period(receipts.where(wanted), form, periods=spine.columns)
     # Narrow rows before the semi join: it is the one shuffle of the observations.
-    numeric = keep_numeric_variables(obs.where(F.col("period").isin(periods)), types)
-    narrow = numeric.select("ref", "period", "variable", coerce_numeric("value").alias("__v"))
+    numeric = keep_numeric_variables(obs.where(wanted), types, table_name, spine.columns)
+    narrow = numeric.select("ref", *spine.columns, "variable", coerce_numeric("value").alias("__v"))
     values = responses_in(narrow, latest)
     totals = values.groupBy("variable").agg(
-        *[F.sum(F.when(F.col("period") == p, F.col("__v"))).alias(str(p)) for p in periods]
+        *[F.sum(F.when(spine.is_in([p]), F.col("__v"))).alias(n) for p, n in names.items()]
     )
-    cur, prev = F.col(str(period)), F.col(str(period - 1))
+    cur, prev = (F.col(f"`{n}`") for n in names.values())
     return totals.select(
         "variable", cur, prev, (cur - prev).alias("diff"),
         F.round(percent_change(cur, prev, missing_base=1), 2).alias("pdiff"),
@@ -138,7 +144,8 @@ def variables_side_by_side(obs: DataFrame, variables: Sequence[str], ref: str |
 
 
 def control_overview(
-    controls: DataFrame, hits: DataFrame, receipts: DataFrame, keys: Sequence[str] | None = None
+    controls: DataFrame, hits: DataFrame, receipts: DataFrame, keys: Sequence[str] | None = None,
+    periods: Sequence[str] = ("period",),
 ) -> DataFrame:
     """Per row of the catalogue: hits, and hits on active responses nobody has worked on yet.
 
@@ -146,7 +153,7 @@ def control_overview(
     control, so that a control's hits of one period do not count in another.
     """
     if keys is None:
-        keys = [c for c in ("period", "form", "control_id") if c in controls.columns and c in hits.columns]
+        keys = [c for c in (*periods, "form", "control_id") if c in controls.columns and c in hits.columns]
     if "status" in receipts.columns:
         untreated = F.col("status") == UNTREATED
     else:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import change, matches
+from ..functions.frames import null_safe_join
+from ..functions.periods import BY_POSITION, YEARLY, Spine
 from ..scratch import materialize, small_table
 from .aggregates import union_results
 from .joins import expand_scope, new_units, responses_in
@@ -29,6 +31,15 @@ class ControlContext:
     scope: Mapping[str, Any]
     periods: Sequence[str] = ("period",)
     options: Mapping[str, Any] = field(default_factory=dict)
+    #: Needed with several period columns: the ordered periods, and which one lies before.
+    spine: Spine | None = None
+    before: str = BY_POSITION
+
+    def __post_init__(self) -> None:
+        if self.spine is None:
+            self.spine = Spine(tuple(self.periods)) if len(self.periods) == 1 else YEARLY
+        else:
+            self.periods = self.spine.columns
 
     def table(self, name: str) -> DataFrame:
         """The whole table; a control filters it to the scope itself, where it should."""
@@ -90,11 +101,22 @@ def catalogue(spark: SparkSession, controls: Sequence[ControlFunction], scope: M
 
 
 def register_controls(existing: DataFrame, controls: Sequence[ControlFunction], scope: Mapping[str, Any]) -> DataFrame:
-    """The catalogue with the rows of ``controls`` added where no identical row is stored."""
+    """The catalogue with the rows of ``controls``: one row per scope and control.
+
+    A stored control gets the texts of the function as it is now; columns that only the
+    catalogue has keep their values there.
+    """
     new = catalogue(existing.sparkSession, controls, scope)
-    new = new.select(*[F.col(c).cast(existing.schema[c].dataType) if c in existing.columns else F.col(c) for c in new.columns])
-    keys = [c for c in new.columns if c in existing.columns]
-    return insert_new(existing, new, keys)
+    new = new.select(*[F.col(c).cast(existing.schema[c].dataType) for c in new.columns if c in existing.columns])
+    keys = [c for c in (*scope, "control_id") if c in new.columns]
+    texts = [c for c in new.columns if c not in keys]
+    now = new.select(*keys, *[F.col(c).alias(f"__n_{c}") for c in texts], F.lit(True).alias("__known"))
+    joined = null_safe_join(existing, now, keys, "left")
+    updated = joined.select(*[
+        F.when(F.col("__known"), F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c) if c in texts else F.col(c)
+        for c in existing.columns
+    ])
+    return insert_new(updated, new, keys)
 
 
 def _columns_ok(result: Any, meta: Mapping[str, Any], periods: Sequence[str]) -> DataFrame:
@@ -226,10 +248,9 @@ def sync_hits(existing: DataFrame, results: DataFrame, scope_cols: Sequence[str]
 @control("new_unit", "I", "Unit is new this period", ["unit"], order="ASC")
 def new_unit(ctx: ControlContext) -> DataFrame:
     """Hit where the unit sent nothing one period earlier."""
-    period = _single(ctx.scope["period"])
-    rows = new_units(ctx.table("receipts"), period)
-    rest = {k: v for k, v in ctx.scope.items() if k != "period"}
-    return rows.where(matches(rest)).select("period", "form", "unit", "ref", "hit", F.lit(0).alias("value"))
+    rows = new_units(ctx.table("receipts"), ctx.scope, ctx.spine, ctx.before)
+    rest = {k: v for k, v in ctx.scope.items() if k not in ctx.periods}
+    return rows.where(matches(rest)).select(*ctx.periods, "form", "unit", "ref", "hit", F.lit(0).alias("value"))
 
 
 @control("large_change", "S", "Large change from the period before", ["value"], order="DESC")
@@ -240,17 +261,18 @@ def large_change(ctx: ControlContext) -> DataFrame:
     cent, truncated. Without the option ``variable`` every variable is judged, and a
     unit's row shows its largest change.
     """
-    period = _single(ctx.scope["period"])
+    spine = ctx.spine
+    this, before = spine.period(ctx.scope), spine.previous(ctx.scope, ctx.before)
     variable, limit = ctx.options.get("variable"), ctx.options.get("limit", 100)
-    rest = {k: v for k, v in ctx.scope.items() if k != "period"}
-    both = {**rest, "period": [period, period - 1]}
-    chosen = both if variable is None else {**both, "variable": variable}
-    obs = ctx.table("observations").where(matches(chosen))
-    latest = latest_active_per_period(ctx.table("receipts"), filters=both)
+    rest = {k: v for k, v in ctx.scope.items() if k not in ctx.periods}
+    chosen = rest if variable is None else {**rest, "variable": variable}
+    obs = ctx.table("observations").where(spine.is_in([this, before])).where(matches(chosen))
+    receipts = ctx.table("receipts").where(spine.is_in([this, before]))
+    latest = latest_active_per_period(receipts, filters=rest, periods=spine.columns)
     keys = ["unit", "variable"] if variable is None else ["unit"]
-    narrow = obs.select("period", "form", "ref", *keys, F.col("value").try_cast("double").alias("__v"))
+    narrow = obs.select(*spine.columns, "form", "ref", *keys, F.col("value").try_cast("double").alias("__v"))
     # A unit has one response per period now, so one aggregate sets them side by side.
-    now, v = F.col("period") == period, F.col("__v")
+    now, v = spine.is_in([this]), F.col("__v")
     pairs = responses_in(narrow, latest).groupBy(*keys).agg(
         F.max(F.when(now, F.struct("form", "ref"))).alias("__r"),
         F.max(F.when(now, v)).alias("__cur"), F.max(F.when(~now, v)).alias("__prev"),
@@ -263,7 +285,7 @@ def large_change(ctx: ControlContext) -> DataFrame:
             F.max("__r").alias("__r"), F.max(F.struct(F.abs("__pct").alias("size"), "__pct"))["__pct"].alias("__pct")
         )
     return judged.select(
-        F.lit(period).alias("period"), "__r.form", "unit", "__r.ref", (F.abs("__pct") > limit).alias("hit"),
+        *[F.lit(v).alias(c) for c, v in spine.filters(this).items()], "__r.form", "unit", "__r.ref", (F.abs("__pct") > limit).alias("hit"),
         F.col("__pct").try_cast("int").alias("value"),
     )
 
@@ -271,9 +293,4 @@ def large_change(ctx: ControlContext) -> DataFrame:
 @control("duplicate_submission", "I", "Unit has sent more than one response", ["unit"], order="ASC")
 def duplicate_submission(ctx: ControlContext) -> DataFrame:
     rows = duplicate_submissions(ctx.table("receipts"), ctx.scope)
-    return rows.select("period", "form", "unit", "ref", "hit", F.lit(0).alias("value")).distinct()
-
-
-def _single(value: Any) -> Any:
-    return value[0] if isinstance(value, (list, tuple)) else value
-
+    return rows.select(*ctx.periods, "form", "unit", "ref", "hit", F.lit(0).alias("value")).distinct()

@@ -37,9 +37,16 @@ def select_matching(df: DataFrame, fixed: Sequence[str], pattern: str) -> DataFr
     return df.select(*fixed, *extra)
 
 
-def keep_numeric_variables(obs: DataFrame, types: DataFrame) -> DataFrame:
-    numeric = types.where(F.col("datatype").isin(*NUMERIC_TYPES)).select("variable")
-    return obs.join(numeric, "variable", "left_semi")
+def keep_numeric_variables(
+    obs: DataFrame, types: DataFrame, table_name: str | None = None, periods: Sequence[str] = ("period",)
+) -> DataFrame:
+    """Rows whose variable is numeric by the metadata of their own period and table.
+
+    Metadata without period columns holds for all periods; contradicting rows fail the job.
+    """
+    one, keys = types_per_variable(types, obs, "datatype", table_name=table_name, periods=periods)
+    numeric = one.where(F.col("datatype").isin(*NUMERIC_TYPES))
+    return obs.join(numeric.select(*keys), keys, "left_semi")
 
 
 def with_numeric_value(obs: DataFrame, default: int | None = None, out: str = "value") -> DataFrame:

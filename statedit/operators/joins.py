@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import change, matches, percent_change
 from ..functions.frames import null_safe_join, one_per_key
+from ..functions.periods import BY_POSITION, YEARLY, Spine
 from .latest import latest_active
 from .quality import require_columns, types_per_variable
 
@@ -92,18 +93,18 @@ def responses_in(obs: DataFrame, latest: DataFrame) -> DataFrame:
     return obs.join(latest.select("ref"), "ref", "left_semi")
 
 
-def new_units(receipts: DataFrame, period: int | None = None) -> DataFrame:
+def new_units(receipts: DataFrame, period: Any = None, spine: Spine = YEARLY, by: str = BY_POSITION) -> DataFrame:
     """Responses with ``hit`` where the unit sent nothing in the period before.
 
     With ``period`` only its responses are returned, otherwise those of every period.
     """
-    seen = receipts.select("unit", (F.col("period") + 1).alias("period")).distinct()
-    rows = receipts
+    keys = ["unit", *spine.columns]
+    rows, sent = receipts, receipts.select(*keys)
     if period is not None:
-        rows, seen = rows.where(F.col("period") == period), seen.where(F.col("period") == period)
-    return rows.join(seen.withColumn("__seen", F.lit(True)), ["unit", "period"], "left").select(
-        *receipts.columns, F.col("__seen").isNull().alias("hit")
-    )
+        rows = rows.where(spine.is_in([spine.period(period)]))
+        sent = sent.where(spine.is_in([spine.previous(period, by)]))
+    seen = spine.following(sent, by).distinct().withColumn("__seen", F.lit(True))
+    return rows.join(seen, keys, "left").select(*receipts.columns, F.col("__seen").isNull().alias("hit"))
 
 
 def uncovered_pairs(tables: Sequence[str], forms: DataFrame, covered: DataFrame) -> DataFrame:
@@ -183,14 +184,19 @@ def region_values(data: DataFrame, regions: DataFrame) -> DataFrame:
     return data.select("region", "value").join(regions, "region")
 
 
-def year_change(obs: DataFrame, receipts: DataFrame, period: int) -> DataFrame:
+def year_change(
+    obs: DataFrame, receipts: DataFrame, period: Any, spine: Spine = YEARLY, by: str = BY_POSITION,
+) -> DataFrame:
     """Values of every response beside those of the unit's response one period earlier."""
-    links = link_periods(receipts, {"period": period}, {"period": period - 1})
+    this, before = spine.period(period), spine.previous(period, by)
+    latest = [latest_active(receipts.where(spine.is_in([p]))).select("unit", F.col("ref").alias(n))
+              for p, n in ((this, "current"), (before, "previous"))]
+    links = latest[0].join(latest[1], "unit", "left")
     sides = links.select("unit", F.inline(F.array(
         F.struct(F.lit(True).alias("now"), F.col("current").alias("ref")),
         F.struct(F.lit(False).alias("now"), F.col("previous").alias("ref")),
     ))).where("ref is not null")
-    rows = obs.where(F.col("period").isin(period, period - 1)).select("ref", "variable", "value").join(sides, "ref")
+    rows = obs.where(spine.is_in([this, before])).select("ref", "variable", "value").join(sides, "ref")
     pairs = rows.groupBy("unit", "variable").agg(
         F.max(F.when(F.col("now"), F.col("value"))).alias("value"),
         F.max(F.when(~F.col("now"), F.col("value"))).alias("previous_value"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import matches
 from ..functions.frames import null_safe_join, one_per_key
+from ..functions.periods import YEARLY, Spine
 
 
 def latest_active(
@@ -52,9 +53,9 @@ def with_update_counts(versions: DataFrame, update_counts: DataFrame) -> DataFra
     )
 
 
-def active_version(versions: DataFrame, update_counts: DataFrame) -> DataFrame:
+def active_version(versions: DataFrame, update_counts: DataFrame, keys: Sequence[str] = ("unit", "period")) -> DataFrame:
     """Per (unit, period): edited versions first, then the newest."""
-    return default_version(with_update_counts(versions, update_counts))
+    return default_version(with_update_counts(versions, update_counts), keys)
 
 
 def default_version(versions: DataFrame, keys: Sequence[str] = ("unit", "period")) -> DataFrame:
@@ -67,16 +68,17 @@ def default_version(versions: DataFrame, keys: Sequence[str] = ("unit", "period"
     return one_per_key(versions, keys, order)
 
 
-def comparable_versions(versions: DataFrame, period: int) -> DataFrame:
+def comparable_versions(versions: DataFrame, period: Any, spine: Spine = YEARLY) -> DataFrame:
     """All versions of ``period`` plus the default version of each other period, labelled."""
     text = F.concat(
         F.lit("v"), F.col("version_no").cast("string"), F.lit(" – "),
         F.date_format("received_at", "yyyy-MM-dd HH:mm"),
         F.when(F.col("n_changes") > 0, " (editert)").otherwise(""),
     )
-    this = versions.where(F.col("period") == period).withColumn("label", text)
-    other = default_version(versions.where(F.col("period") != period)).withColumn(
-        "label", F.col("period").cast("string")
+    chosen = spine.is_in([spine.period(period)])
+    this = versions.where(chosen).withColumn("label", text)
+    other = default_version(versions.where(~chosen), ["unit", *spine.columns]).withColumn(
+        "label", F.concat_ws("-", *[F.col(c).cast("string") for c in spine.columns])
     )
     return this.unionByName(other)
 

@@ -81,7 +81,9 @@ def reference_report(tables: dict[str, DataFrame], periods: Sequence[str] = ("pe
     return out
 
 
-def types_per_variable(types: DataFrame, like: DataFrame, *columns: str, table_name: str | None = None) -> tuple[DataFrame, list[str]]:
+def types_per_variable(
+    types: DataFrame, like: DataFrame, *columns: str, table_name: str | None = None, periods: Sequence[str] = ("period",)
+) -> tuple[DataFrame, list[str]]:
     """One row of metadata per variable, and the columns to join it on.
 
     Metadata is keyed by period, table and variable. ``table_name`` picks a table; without
@@ -90,7 +92,7 @@ def types_per_variable(types: DataFrame, like: DataFrame, *columns: str, table_n
     """
     if table_name is not None and "table_name" in types.columns:
         types = types.where(F.col("table_name") == table_name)
-    keys = [c for c in ("period", "variable") if c in types.columns and c in like.columns] or ["variable"]
+    keys = [c for c in (*periods, "variable") if c in types.columns and c in like.columns] or ["variable"]
     if "variable" not in keys:
         keys.append("variable")
     row = F.struct(*columns)

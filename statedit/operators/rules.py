@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_amount, matches
+from ..functions.periods import YEARLY, Spine
 from ..scratch import small_table
 
 RULE_SCHEMA = (
@@ -118,9 +119,11 @@ def touched_scope(rules: DataFrame, changed: DataFrame) -> DataFrame:
     ).select("seq", "control_id").distinct()
 
 
-def evaluate_changed(ledger: DataFrame, rules: DataFrame, changed: DataFrame) -> DataFrame:
-    """Hits of the touched rules of the touched submissions only."""
-    scope = touched_scope(rules, changed)
+def evaluate_changed(
+    ledger: DataFrame, rules: DataFrame, changed: DataFrame | None = None, scope: DataFrame | None = None
+) -> DataFrame:
+    """Hits of the touched rules of the touched submissions only; ``scope`` saves finding them."""
+    scope = touched_scope(rules, changed) if scope is None else scope
     hits = evaluate_sum_rules(
         ledger, rules.join(scope.select("control_id").distinct(), "control_id", "left_semi"),
         scope.select("seq").distinct(),
@@ -128,10 +131,10 @@ def evaluate_changed(ledger: DataFrame, rules: DataFrame, changed: DataFrame) ->
     return hits.join(scope, ["seq", "control_id"], "left_semi").select("control_id", "seq", "hit", "value")
 
 
-def rule_catalogue(rules: DataFrame, period: int, last_run: Any) -> DataFrame:
+def rule_catalogue(rules: DataFrame, period: Any, last_run: Any, spine: Spine = YEARLY) -> DataFrame:
     """One catalogue row per rule; the run time is given, never read from the clock."""
     return rules.select("control_id", "theme", "category", "description").distinct().select(
-        F.lit(period).alias("period"), "theme", "control_id", "category", "description",
+        *[F.lit(v).alias(c) for c, v in spine.filters(period).items()], "theme", "control_id", "category", "description",
         F.lit("value").alias("sort_by"), F.lit("DESC").alias("sort_order"),
         F.lit(last_run).cast("timestamp").alias("last_run"),
     )

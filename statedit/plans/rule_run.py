@@ -8,10 +8,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.periods import YEARLY, Spine
 from ..operators.joins import enrich_with_register
 from ..operators.latest import active_version
 from ..operators.rules import evaluate_changed, evaluate_sum_rules, rule_catalogue, touched_scope
 from ..operators.upsert import replace_scope
+from ..scratch import materialize
 
 
 @dataclass
@@ -24,24 +26,24 @@ class RuleRun:
 
 def period_hits(
     versions: DataFrame, update_counts: DataFrame, ledger: DataFrame, rules: DataFrame,
-    period: int, register: DataFrame | None = None,
+    period: Any, register: DataFrame | None = None, spine: Spine = YEARLY,
 ) -> DataFrame:
     """Hits of the active version of every unit in a period."""
-    active = active_version(versions.where(F.col("period") == period), update_counts)
-    scope = active.select("seq", "unit", "period")
+    now = versions.where(spine.is_in([spine.period(period)]))
+    scope = active_version(now, update_counts, ["unit", *spine.columns]).select("seq", "unit", *spine.columns)
     hits = evaluate_sum_rules(ledger, rules, scope).join(scope, "seq")
     return hits if register is None else enrich_with_register(hits, register)
 
 
 def run_rules_for_period(
     existing_hits: DataFrame, existing_catalogue: DataFrame, versions: DataFrame,
-    update_counts: DataFrame, ledger: DataFrame, rules: DataFrame, period: int,
-    last_run: Any, register: DataFrame | None = None,
+    update_counts: DataFrame, ledger: DataFrame, rules: DataFrame, period: Any,
+    last_run: Any, register: DataFrame | None = None, spine: Spine = YEARLY,
 ) -> RuleRun:
     """Replace a period's stored hits and catalogue rows of these rules."""
-    hits = period_hits(versions, update_counts, ledger, rules, period, register)
-    fresh = rule_catalogue(rules, period, last_run)
-    scope = fresh.select("period", "control_id")
+    hits = period_hits(versions, update_counts, ledger, rules, period, register, spine)
+    fresh = rule_catalogue(rules, period, last_run, spine)
+    scope = fresh.select(*spine.columns, "control_id")
     return RuleRun(
         hits=replace_scope(existing_hits, _shaped(hits, existing_hits), scope),
         catalogue=replace_scope(existing_catalogue, _shaped(fresh, existing_catalogue), scope),
@@ -65,9 +67,9 @@ def run_rules_for_changes(
     changed: DataFrame, register: DataFrame | None = None,
 ) -> RuleRun:
     """Evaluate again only the rules that name a changed account, for many submissions at once."""
-    scope = touched_scope(rules, changed)
+    scope = materialize(touched_scope(rules, changed))
     owners = versions.select("seq", "unit", "period")
-    hits = evaluate_changed(ledger, rules, changed).join(owners, "seq")
+    hits = evaluate_changed(ledger, rules, scope=scope).join(owners, "seq")
     hits = hits if register is None else enrich_with_register(hits, register)
     return RuleRun(replace_scope(existing_hits, _shaped(hits, existing_hits), scope))
 

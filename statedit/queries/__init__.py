@@ -3,7 +3,7 @@
 
 def load():
     """All queries and their SQL, by name."""
-    from . import editing, selection, totals  # noqa: F401
+    from . import editing, selection, stored, totals  # noqa: F401
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL

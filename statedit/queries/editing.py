@@ -435,13 +435,13 @@ def editable(v):
 
 
 EDITS_SQL = """
-    edits AS (
+    edits AS MATERIALIZED (
         SELECT CAST(l_orderkey AS VARCHAR) AS ref,
                CASE WHEN max(l_returnflag) = 'A' THEN 'remark' ELSE 'lines' END AS variable,
                CASE WHEN max(l_discount) > 0.09 THEN '0' ELSE CAST(count(*) AS VARCHAR) END AS old_value,
                CASE WHEN min(l_discount) > 0.03 THEN '1.5' ELSE CAST(count(*) + 1 AS VARCHAR) END AS value
         FROM lineitem GROUP BY l_orderkey),
-    judged AS (
+    judged AS MATERIALIZED (
         SELECT e.*, CASE
             WHEN e.variable = 'lines' AND contains(e.value, '.') THEN 'datatype float'
             WHEN o.ref IS NOT NULL AND o.value <> e.old_value THEN 'old value differs' END AS reason, o.ref IS NULL AS fresh

@@ -81,6 +81,14 @@ VIEWS = {
         SELECT CAST(user_id AS VARCHAR) AS ref, event_type AS variable, CAST(value AS VARCHAR) AS new_value,
                ts AS changed_at, CASE WHEN event_type = 'signup' THEN 'Altinn3' ELSE 'editering' END AS process_type,
                event_id AS hist_id FROM events""",
+    "receipts_q": """
+        SELECT period AS year, CAST(quarter(received_at) AS INTEGER) AS quarter, unit, form, ref, received_at, edited, active, status
+        FROM receipts""",
+    "observations_q": """
+        SELECT r.year, r.quarter, o.form, o.unit, o.ref, o.variable, o.value FROM observations o JOIN receipts_q r ON r.ref = o.ref""",
+    "latest_q": """
+        SELECT * FROM receipts_q WHERE active
+        QUALIFY row_number() OVER (PARTITION BY year, quarter, unit ORDER BY received_at DESC, ref DESC) = 1""",
     "latest": """
         SELECT * FROM receipts WHERE active
         QUALIFY row_number() OVER (PARTITION BY unit ORDER BY received_at DESC, ref DESC) = 1""",
@@ -95,6 +103,9 @@ NEEDS = {
     "observations": ["observations_wide"],
     "numeric_observations": ["observations"],
     "counted": ["versions", "update_counts"],
+    "receipts_q": ["receipts"],
+    "observations_q": ["observations", "receipts_q"],
+    "latest_q": ["receipts_q"],
     "latest": ["receipts"],
     "latest_per_period": ["receipts"],
 }
@@ -112,7 +123,7 @@ def over(views: str, body: str) -> str:
 
     for v in views.split():
         add(v)
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in ordered)
+    ctes = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in ordered)
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"

@@ -378,14 +378,13 @@ def region_values(v):
 
 
 @query("""
-    WITH p AS (SELECT * FROM latest_per_period),
-    now AS (SELECT o.unit, o.variable, o.value FROM observations o JOIN p USING (ref) WHERE p.period = 1998),
-    known AS (SELECT unit FROM p WHERE period = 1998),
-    past AS (SELECT o.unit, o.variable, o.value FROM observations o JOIN p USING (ref)
-             WHERE p.period = 1997 AND o.unit IN (SELECT unit FROM known)),
-    j AS (SELECT coalesce(n.unit, t.unit) AS unit, coalesce(n.variable, t.variable) AS variable, n.value,
-                 t.value AS previous_value, TRY_CAST(n.value AS DOUBLE) AS a, TRY_CAST(t.value AS DOUBLE) AS b
-          FROM now n FULL JOIN past t ON n.unit = t.unit AND n.variable = t.variable)
+    WITH s AS MATERIALIZED (
+        SELECT o.unit, o.variable, max(o.value) FILTER (l.period = 1998) AS value,
+               max(o.value) FILTER (l.period = 1997) AS previous_value, max(l.period) AS last
+        FROM latest_per_period l JOIN observations o ON o.ref = l.ref WHERE l.period IN (1997, 1998) GROUP BY 1, 2),
+    known AS MATERIALIZED (SELECT DISTINCT unit FROM latest_per_period WHERE period = 1998),
+    j AS (SELECT s.unit, variable, value, previous_value, TRY_CAST(value AS DOUBLE) AS a, TRY_CAST(previous_value AS DOUBLE) AS b
+          FROM s JOIN known ON known.unit = s.unit)
     SELECT unit, variable, value, previous_value,
            round(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN coalesce(a, 0) - coalesce(b, 0) END, 2) AS diff,
            round((coalesce(a, 0) - b) / nullif(b, 0) * 100, 4) AS pdiff FROM j""", "latest_per_period observations")

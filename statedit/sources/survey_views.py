@@ -83,6 +83,15 @@ class SurveyViews:
             ["period", "form", "unit", "ref"], [name for name, _, _ in VARIABLES], "variable", "value"
         )
 
+    def receipts_quarterly(self) -> DataFrame:
+        """Receipts with two period columns, the year and the quarter of the receipt."""
+        rows = self.receipts().withColumn("quarter", F.quarter("received_at"))
+        return rows.withColumnRenamed("period", "year")
+
+    def observations_quarterly(self) -> DataFrame:
+        when = self.receipts_quarterly().select("ref", "year", "quarter")
+        return self.observations().drop("period").join(when, "ref")
+
     def types(self) -> DataFrame:
         return small_table(self.spark, VARIABLES, "variable string, datatype string, rowno int")
 
