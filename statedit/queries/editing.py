@@ -17,7 +17,8 @@ from ..plans.rule_run import period_hits, run_rules_for_changes, run_rules_for_p
 from ..scratch import scratch_path
 from ..sources import logs, tables
 from ..streaming.receipts import (
-    current_daily_receipts, current_latest_active, stream_daily_receipts, stream_latest_active,
+    current_daily_receipts, current_latest_active, read_daily_receipts, start_daily_receipts, stream_daily_receipts,
+    stream_latest_active,
 )
 from .registry import query
 from .totals import ACTIVE_SQL
@@ -641,6 +642,16 @@ def streamed_all_days(v):
     return current_daily_receipts(v.spark, f"{root}/latest")
 
 
+@query("SELECT CAST(received_at AS DATE) AS day, count(*) AS n FROM receipts GROUP BY 1", "receipts", "stream_daily_counts")
+def streamed_daily_counts(v):
+    """Daily counts kept up by a stream in update mode, stopped and started again."""
+    root = scratch_path(v.spark, "stream")
+    stream = _receipt_stream(v, root)
+    for _ in range(2):
+        start_daily_receipts(stream, f"{root}/days", f"{root}/state", availableNow=True).awaitTermination()
+    return read_daily_receipts(v.spark, f"{root}/days")
+
+
 def _receipt_stream(v, root):
     """The receipts as arriving files: one per period, oldest first."""
     path = f"{root}/in"
