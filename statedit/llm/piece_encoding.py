@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SPACE = "▁"
-#: Segments and pairs of neighbours a worker remembers, and the longest remembered segment.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 400_000, 300_000, 48
+#: Segments (twice as many, with those of before) and pairs of neighbours a worker remembers, and the longest such segment.
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 300_000, 300_000, 48
 #: Rows and characters that are encoded before they are handed on.
 ROWS, CHARS = 512, 1 << 22
 
@@ -53,6 +54,7 @@ class PieceModel:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         byte, control, unknown = ([f(i) for i in range(n)] for f in (sp.is_byte, sp.is_control, sp.is_unknown))
         self.ids = {p: i for i, p in enumerate(pieces) if not (byte[i] or control[i] or unknown[i] or sp.is_unused(i))}
+        self.packed = {p: i.to_bytes(4, sys.byteorder) for p, i in self.ids.items()}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = {int(pieces[i][3:5], 16): i for i in range(n) if byte[i]}
         self.unknown_id = sp.unk_id()
@@ -73,21 +75,21 @@ class PieceModel:
         self.shorter = {p: self._longest_prefix(p[:-1]) for p in self.reachable if len(p) > 1}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _segments(self):
-        """A function that cuts a text in front of spaces and of marks, as far as no piece spans the cut.
+        """A function that cuts a text in front of spaces and of marks, where no piece spans the cut.
 
-        A mark is cut off from what stands in front unless that is a mark or a space.
+        Marks are closed: what stands in front of a mark in a piece is a mark itself. So a mark
+        may be cut off from all but marks and spaces, and a space from all but spaces.
         """
         inner = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         if any(a != SPACE and b == SPACE for a, b in inner):
             return lambda text: [text]
-        marks = set("\n\t!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~0123456789")
-        while spanned := {b for a, b in inner if b in marks and a not in marks and a != SPACE}:
-            marks -= spanned
+        marks = {chr(c) for c in range(128) if not chr(c).isalpha()}
+        while more := {a for a, b in inner if b in marks} - marks - {SPACE}:
+            marks |= more
         k = "".join(re.escape(c) for c in sorted(marks))
-        if not k:
-            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
         return re.compile(f"{SPACE}+[{k}]*[^{SPACE}{k}]*|[{k}]+[^{SPACE}{k}]*|[^{SPACE}{k}]+").findall
 
     def _longest_prefix(self, text: str) -> int:
@@ -152,31 +154,36 @@ class PieceModel:
         return out
 
     def _packed(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for p in self.split(segment):
-            i = self.ids.get(p)
-            if i is not None:
-                ids.append(i)
+        parts, packed = self.split(segment), self.packed
+        try:
+            return b"".join([packed[p] for p in parts])
+        except KeyError:
+            pass
+        unknown = self.unknown_id.to_bytes(4, sys.byteorder)
+        out: list[bytes] = []
+        for p in parts:
+            if p in packed:
+                out.append(packed[p])
             elif self.byte_ids:
-                ids.extend(self.byte_ids[b] for b in p.encode())
-            elif not ids or ids[-1] != self.unknown_id:
-                ids.append(self.unknown_id)
-        return np.array(ids, np.int32).tobytes()
+                out.extend(self.byte_ids[b].to_bytes(4, sys.byteorder) for b in p.encode())
+            elif not out or out[-1] != unknown:
+                out.append(unknown)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Packed 32-bit ids of a text, without an end id."""
         if not text:
             return b""
         parts = self.segments(SPACE + text.replace(" ", SPACE))
-        cache = self.cache
-        if len(cache) >= CACHE_SEGMENTS:
-            cache.clear()
+        if len(self.cache) >= CACHE_SEGMENTS:  # the segments of late stay at hand
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         new = set(parts).difference(cache)
         for s in new:
-            cache[s] = self._packed(s)
+            cache[s] = older.get(s) or self._packed(s)
         packed = b"".join([cache[s] for s in parts])
         if len(new) > CACHE_SEGMENTS:
-            cache.clear()
+            self.cache = {}
         else:
             for s in new:
                 if len(s) > CACHE_CHARS:
@@ -188,20 +195,24 @@ class PieceModel:
 
         The space that encoding puts in front is taken away.
         """
-        runs, start = [], 0
-        for k, i in enumerate(ids):
-            if i in self.control:  # bytes on its two sides are no one character
-                runs.append(ids[start:k])
-                start = k + 1
-        runs.append(ids[start:])
+        ids = list(ids)
+        while ids and ids[-1] in self.control:
+            ids.pop()
+        runs = [ids]
+        if not self.control.isdisjoint(ids):  # bytes on the two sides of a control id are no one character
+            runs = [[]]
+            for i in ids:
+                if i in self.control:
+                    runs.append([])
+                else:
+                    runs[-1].append(i)
         texts, front = [], True
-        for run in runs:
-            if len(run):
-                parts = [self.bytes_of[i] for i in run]
-                if front and self.leads[run[0]]:
-                    parts[0] = parts[0][1:]
-                front = False
-                texts.append(b"".join(parts).decode("utf-8", "statedit_each_byte"))
+        for run in filter(None, runs):
+            parts = list(map(self.bytes_of.__getitem__, run))
+            if front and self.leads[run[0]]:
+                parts[0] = parts[0][1:]
+            front = False
+            texts.append(b"".join(parts).decode("utf-8", "statedit_each_byte"))
         return "".join(texts)
 
 
