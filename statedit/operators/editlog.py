@@ -123,6 +123,9 @@ def replay_log(
     (``unit_not_found``, ``unit_not_unique``, ``stale_old_value``, ``bad_value``,
     ``unknown_variable``, ``uneven_cells`` where old and new values do not pair up); ``edited`` is only meaningful when it is empty.
 
+    A row is found by the ids that the log row itself names, one or more of ``id_vars``;
+    for every such set of names the base is searched once.
+
     The edits of a cell are never collected. They are folded by window within time
     chunks, and the chunks by a second window, so a cell with very many edits is spread
     over tasks. The log is worked out right away.
@@ -134,22 +137,13 @@ def replay_log(
         raise ValueError("No column that the log may change.")
     keys = [f"__k_{v}" for v in id_vars]
     cell = [*keys, "variable"]
-    details = F.col("change_details")
-    ids = F.map_from_entries(F.transform(
-        details["unit_id"], lambda u: F.struct(u["unit_id_variable"], u["unit_id_value"])
-    ))
-    seq = F.col("seq") if "seq" in log.columns else F.monotonically_increasing_id()
-    rows = log.select(
-        *[F.try_element_at(ids, F.lit(v)).alias(k) for v, k in zip(id_vars, keys)],
-        F.col("change_datetime").alias("t"), seq.alias("seq"), details["old_value"].alias("olds"), details["new_value"].alias("news"),
-    )
-    paired = rows.select(*keys, "t", "seq", F.posexplode_outer(F.arrays_zip("olds", "news")).alias("cell_no", "c"))
-    old, new = F.col("c.olds"), F.col("c.news")
-    raw = paired.select(
-        *keys, F.coalesce(old["variable_name"], new["variable_name"]).alias("variable"), "t",
-        F.struct("seq", "cell_no").alias("pos"), old["value"].alias("old_raw"), new["value"].alias("new_raw"),
-        (~F.coalesce(old["variable_name"] == new["variable_name"], F.lit(False))).alias("uneven"),
+    cells = log if "__cell" in log.columns else log_cells(log)
+    raw = cells.select(
+        *[F.try_element_at("ids", F.lit(v)).alias(k) for v, k in zip(id_vars, keys)], F.map_keys("ids").alias("__named"),
+        "variable", "t", "pos", "old_raw", "new_raw", "uneven",
     )
+    keyed = base.select("*", *[F.col(v).cast("string").alias(k) for v, k in zip(id_vars, keys)])
+    raw = _with_whole_keys(raw, keyed, id_vars, keys)
     typed = raw.select(
         "*",
         _typed_text(F.nullif("old_raw", F.lit(NONE)), F.col("variable"), base, names).alias("old"),
@@ -169,7 +163,6 @@ def replay_log(
         F.max_by(F.struct((F.col("__seg") > 0).alias("s"), F.col("__after").alias("v")), "chunk").alias("__f")
     )
 
-    keyed = base.select("*", *[F.col(v).cast("string").alias(k) for v, k in zip(id_vars, keys)])
     edited = _apply_final(base, keyed, final, names, keys)
     problems = _problems(keyed, steps, folded, names, keys, cell)
     return edited, problems.select(
@@ -178,6 +171,65 @@ def replay_log(
     )
 
 
+def log_cells(log: DataFrame) -> DataFrame:
+    """The cells that a log changes, one row each, in one pass over the log: worked out and stored."""
+    details = F.col("change_details")
+    ids = F.map_from_entries(F.transform(
+        details["unit_id"], lambda u: F.struct(u["unit_id_variable"], u["unit_id_value"])
+    ))
+    seq = F.col("seq") if "seq" in log.columns else F.monotonically_increasing_id()
+    rows = log.select(
+        ids.alias("ids"), F.col("change_datetime").alias("t"), seq.alias("seq"), details["old_value"].alias("olds"), details["new_value"].alias("news"),
+    )
+    paired = rows.select("ids", "t", "seq", F.posexplode_outer(F.arrays_zip("olds", "news")).alias("cell_no", "c"))
+    old, new = F.col("c.olds"), F.col("c.news")
+    return materialize(paired.select(
+        "ids", F.coalesce(old["variable_name"], new["variable_name"]).alias("variable"), "t",
+        F.struct("seq", "cell_no").alias("pos"), old["value"].alias("old_raw"), new["value"].alias("new_raw"),
+        (~F.coalesce(old["variable_name"] == new["variable_name"], F.lit(False))).alias("uneven"), F.lit(True).alias("__cell"),
+    ))
+
+
+#: Sets of id names that a log may use; more are no log of one table.
+MOST_SIGNATURES = 64
+
+
+def _with_whole_keys(raw: DataFrame, keyed: DataFrame, id_vars: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Log cells with all keys of their base row, and ``__lost`` where there is not exactly one.
+
+    Rows that name all ids are taken as they are. The others are grouped by the names they
+    use, and each group's ids meet the base in one join.
+    """
+    used = raw.select(F.array_sort(F.array_intersect("__named", F.array(*[F.lit(v) for v in id_vars]))).alias("s"))
+    found = [tuple(r.s) for r in used.distinct().limit(MOST_SIGNATURES + 1).collect() if r.s is not None]
+    if len(found) > MOST_SIGNATURES:
+        raise ValueError(f"The log names its units by more than {MOST_SIGNATURES} sets of ids.")
+    whole = tuple(sorted(id_vars))
+    if all(s == whole for s in found):
+        return raw.drop("__named").withColumn("__lost", F.lit(None).cast("string"))
+    out = raw.where(F.size(F.array_except(F.array(*[F.lit(v) for v in id_vars]), "__named")) == 0).withColumn(
+        "__lost", F.lit(None).cast("string"))
+    for s in found:
+        if s == whole:
+            continue
+        names = F.array(*[F.lit(v) for v in s]) if s else F.array().cast("array<string>")
+        own = F.array_sort(F.array_intersect("__named", F.array(*[F.lit(v) for v in id_vars])))
+        rows = raw.where(own == names)
+        by = [k for v, k in zip(id_vars, keys) if v in s]
+        if not by:
+            out = out.unionByName(rows.withColumn("__lost", F.lit("unit_not_found")))
+            continue
+        asked = rows.select(*by).distinct()
+        places = keyed.join(asked, by, "left_semi").groupBy(*by).agg(
+            F.count("*").alias("__n"), F.min(F.struct(*keys)).alias("__place"))
+        located = rows.join(places.withColumnsRenamed({k: f"__b{k}" for k in by}), [F.col(k) == F.col(f"__b{k}") for k in by], "left")
+        lost = F.when(F.col("__n").isNull(), "unit_not_found").when(F.col("__n") > 1, "unit_not_unique")
+        out = out.unionByName(located.select(
+            *[F.when(F.col("__n") == 1, F.col(f"__place.{k}")).otherwise(F.col(k)).alias(k) for k in keys],
+            *[c for c in rows.columns if c not in keys], lost.alias("__lost")))
+    return out.drop("__named")
+
+
 def _apply_final(base: DataFrame, keyed: DataFrame, final: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     updates = materialize(final.groupBy(*keys).agg(*[
         F.max(F.when(F.col("variable") == n, F.col("__f"))).alias(f"__u_{n}") for n in names
@@ -217,7 +269,7 @@ def _problems(
     cells = F.struct(*[F.col(n).cast("string").alias(n) for n in names])
     per_key = found.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(cells).alias("__cells"))
     located = steps.join(per_key, list(keys), "left")
-    where = F.when(F.col("__n").isNull(), "unit_not_found").when(F.col("__n") > 1, "unit_not_unique")
+    where = F.when(F.col("__lost").isNotNull(), F.col("__lost")).when(F.col("__n").isNull(), "unit_not_found").when(F.col("__n") > 1, "unit_not_unique")
     unlocated = report(located.where(where.isNotNull()), where)
 
     base_value = F.lit(None).cast("string")
@@ -237,16 +289,16 @@ def apply_log(
     base: DataFrame, log: DataFrame, id_vars: Sequence[str] | None = None, allow_risky_names: bool = False
 ) -> DataFrame:
     """The edited table, or an error naming the first problems. Runs jobs for the checks."""
+    cells = log_cells(log)
     if id_vars is None:
-        id_vars = log_id_variables(log)
-    details = F.col("change_details")
-    named = F.explode(F.concat(details["old_value"]["variable_name"], details["new_value"]["variable_name"]))
-    used = materialize(log.select(named.alias("v")).distinct())
+        id_vars = _few([r[0] for r in cells.select(F.explode(F.map_keys("ids"))).distinct().limit(MOST_SIGNATURES + 1).collect()], "id columns")
+    used = cells.select(F.col("variable").alias("v")).where("v is not null").distinct()
     unknown = [r.v for r in used.where(~F.col("v").isin(*base.columns)).take(5)]
     if unknown:
         raise ValueError(f"The log changes columns the table does not have: {unknown}")
     require_unique(base, id_vars)  # edits never touch the keys
-    edited, problems = replay_log(base, log, id_vars, [r.v for r in used.where(F.col("v").isNotNull()).collect()])
+    # names that the table has: no more than its columns
+    edited, problems = replay_log(base, cells, id_vars, sorted(r.v for r in used.collect()))
     examples = problems.orderBy("change_datetime").take(5)
     if examples:
         raise ValueError(f"The log cannot be applied, for example: {[r.asDict() for r in examples]}")
@@ -256,7 +308,13 @@ def apply_log(
 def log_id_variables(log: DataFrame) -> list[str]:
     """Names of the unit id columns used in a log: a handful, whatever its length."""
     names = log.select(F.explode("change_details.unit_id").alias("u")).select("u.unit_id_variable").distinct()
-    return sorted(r[0] for r in names.collect())
+    return _few([r[0] for r in names.limit(MOST_SIGNATURES + 1).collect()], "id columns")
+
+
+def _few(names: list[str], what: str) -> list[str]:
+    if len(names) > MOST_SIGNATURES:
+        raise ValueError(f"The log names more than {MOST_SIGNATURES} {what}.")
+    return sorted(n for n in names if n is not None)
 
 
 def log_report(log: DataFrame) -> DataFrame:

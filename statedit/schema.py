@@ -44,10 +44,10 @@ INITIAL_LOAD = "Altinn3"
 # Logical types that count as numeric.
 NUMERIC_TYPES = ("number", "int", "float", "integer")
 
-# Tables that are partitioned by form as well as by period.
+# Tables that are partitioned by form as well as by period.
 FORM_PARTITIONED = ("receipts", "observations", "controls", "control_hits", "contacts")
 
-# Primary keys (without the period columns) of the core tables.
+# Primary keys (without the period columns) of the core tables.
 PRIMARY_KEYS = {
     "receipts": ("form", "unit", "ref"),
     "contacts": ("form", "unit", "ref"),
@@ -59,7 +59,7 @@ PRIMARY_KEYS = {
     "observations": ("form", "unit", "ref", "variable"),
 }
 
-# Foreign keys: child table -> (parent table, key columns without the period columns).
+# Foreign keys, child table -> (parent table, key columns without the period columns).
 FOREIGN_KEYS = {
     "receipts": [("units", ("unit",))],
     "contacts": [("units", ("unit",)), ("receipts", ("form", "unit", "ref"))],

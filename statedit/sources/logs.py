@@ -1,4 +1,7 @@
-"""Change-log files: their paths, reading, writing, and the export of an edited table."""
+"""Change-log files: their paths, reading, writing, and the export of an edited table.
+
+Where a log lies is a fixed contract with the tools that write and archive logs.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.editlog import LOG_SCHEMA, TARGET_PLACEHOLDER, apply_log
+from .ordered import read_json_arrays, read_pieces, running
 from .tables import path_exists
 
 # Folder names of the data states.
@@ -43,17 +47,25 @@ def export_log_path(target: str) -> str:
 
 
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log as JSON lines, or as one JSON array or object.
+    """A log as JSON lines, or as JSON arrays or a single object; a file or a folder of such files.
 
-    ``seq`` breaks ties between equal times: as written, else the order of the lines. A
-    single JSON document is read by one task, as it cannot be split.
+    ``seq`` breaks ties between equal times: as written, else the place among all rows, by
+    file name, then by the order in the file. All files of a folder are of one kind, told by the
+    first line. Lines and arrays are read by many tasks. What is no log row fails the job.
     """
     head = spark.read.text(path).where(F.trim("value") != "").head()
     first = head[0].strip() if head else ""
-    document = first.startswith("[") or first == "{"
-    rows = spark.read.schema(f"{LOG_SCHEMA}, seq long").json(path, multiLine=document, mode="FAILFAST")
-    # monotonically_increasing_id follows the position in the file within each split.
-    return rows.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
+    schema = f"{LOG_SCHEMA}, seq long"
+    if first == "{":  # one object over several lines
+        rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+        return rows.withColumn("seq", F.coalesce("seq", F.lit(0)))
+    if first.startswith("["):
+        texts = read_json_arrays(spark, path).select("file", F.lit(0).alias("block"), F.col("no").alias("pos"), "value")
+    else:
+        texts = read_pieces(spark, path).where(F.trim("value") != "")
+    numbered = running(texts, F.lit(1), "__no", per_file=False)
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return numbered.select("__no", row.alias("r")).select("r.*", "__no").withColumn("seq", F.coalesce("seq", "__no")).drop("__no")
 
 
 def write_change_log(log: DataFrame, path: str, mode: str = "append") -> None:
