@@ -30,10 +30,14 @@ def matches(filters: Mapping[str, Any] | None) -> Column:
 def coerce_numeric(c: Column | str, default: int | None = None) -> Column:
     """Text to whole number, truncating; unreadable or missing text gives ``default``.
 
-    The way is a decimal, so that every digit of a bigint is kept.
+    The way is a decimal, so that every digit of a bigint is kept. A number beyond bigint
+    fails the job, as leaving it out of a total would be wrong; NaN and Infinity are unreadable.
     """
     number = _col(c).try_cast("decimal(38,18)").try_cast("bigint")
-    return number if default is None else F.coalesce(number, F.lit(default).cast("bigint"))
+    size = F.abs(_col(c).try_cast("double"))
+    beyond = F.raise_error(F.concat(F.lit("Number beyond a 64-bit integer: "), _col(c).cast("string"))).cast("bigint")
+    other = F.lit(default).cast("bigint")
+    return F.when(number.isNotNull(), number).when((size >= 1e18) & (size < float("inf")), beyond).otherwise(other)
 
 
 def _amount_type(df: DataFrame, column: str) -> tuple[int, int]:
@@ -46,15 +50,17 @@ def _amount_type(df: DataFrame, column: str) -> tuple[int, int]:
 def exact_amount(df: DataFrame, column: str = "amount") -> Column:
     """An amount as a decimal of its own scale; unreadable text is null.
 
-    Text and doubles get six decimals. An amount beyond the type fails the job instead of
-    being counted wrong.
+    Text and doubles are rounded to six decimals; NaN and Infinity are unreadable. An amount
+    beyond the type fails the job instead of being counted wrong.
     """
     precision, scale = _amount_type(df, column)
     kind = f"decimal({precision},{scale})"
     amount = F.col(column)
     if df.schema[column].dataType == T.StringType():
-        readable = F.trim(amount).try_cast("double").isNotNull()
+        readable = F.abs(F.trim(amount).try_cast("double")) < float("inf")
         return F.when(readable, F.trim(amount).cast(kind))
+    if isinstance(df.schema[column].dataType, T.FractionalType) and not isinstance(df.schema[column].dataType, T.DecimalType):
+        return F.when(F.abs(amount) < float("inf"), amount.cast(kind))
     return amount.cast(kind)
 
 

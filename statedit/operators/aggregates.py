@@ -15,7 +15,7 @@ from ..functions.frames import attach, one_per_key
 from ..functions.ordered import exact_quantiles, rank_within, running_total
 from ..functions.periods import BY_POSITION, YEARLY, Spine
 from ..schema import UNTREATED
-from ..scratch import settle
+from ..scratch import materialize, settle
 from .filters import attribute, keep_numeric_variables
 from .joins import Section, responses_in, section_columns
 from .latest import latest_active_per_period
@@ -251,10 +251,11 @@ def _fences(obs: DataFrame, variable: str | None, whisker: float) -> tuple[DataF
     rows = obs.where(F.col("value").isNotNull())
     if variable is not None:
         rows = rows.where(F.col("variable") == variable)
-    rows = rows.withColumn("value", coerce_numeric("value")).where("value is not null")
+    # Both the quantiles and the points come from the rows as they are stored here.
+    rows = materialize(rows.withColumn("value", coerce_numeric("value")).where("value is not null"))
     q = settle(exact_quantiles(
         rows, ["variable"], "value",
-        {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0},
+        {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}, stored=True,
     ))
     iqr = F.col("q3") - F.col("q1")
     return rows, q.withColumn("lower", F.col("q1") - whisker * iqr).withColumn("upper", F.col("q3") + whisker * iqr)

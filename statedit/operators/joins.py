@@ -14,10 +14,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import change, matches, percent_change
 from ..functions.frames import null_safe_join, one_per_key
 from ..functions.periods import BY_POSITION, YEARLY, Spine
+from ..scratch import materialize
 from .latest import latest_active
 from .quality import require_columns, types_per_variable
 
@@ -161,6 +163,31 @@ def assign_section(ledger: DataFrame, sections: Sequence[Section]) -> DataFrame:
     return ledger.withColumn("heading", heading).withColumn("section", name).where("section is not null")
 
 
+def assign_section_by_table(ledger: DataFrame, sections: DataFrame, account: str = "account") -> DataFrame:
+    """``assign_section`` with the sections as a table ``(heading, section, start, end)`` of any length.
+
+    Every interval is cut into bins as wide as the intervals are on average, so there are at
+    most about two bins per interval, and accounts meet them by an equi-join on the bin.
+    Overlapping or inverted intervals fail when the operator is called; rows with a null
+    bound hold nothing. Columns of the ledger that are called so are replaced.
+    """
+    bounds = sections.select(
+        "heading", "section", F.col("start").cast("bigint").alias("__lo"), F.col("end").cast("bigint").alias("__hi")
+    ).where("__lo is not null and __hi is not null")
+    ahead = F.max("__hi").over(Window.orderBy("__lo", "__hi").rowsBetween(Window.unboundedPreceding, -1))
+    checked = bounds.withColumn("__bad", (F.col("__lo") > F.col("__hi")) | F.coalesce(ahead >= F.col("__lo"), F.lit(False)))
+    stored = materialize(checked)
+    wrong = [tuple(r) for r in stored.where("__bad").select("section", "__lo", "__hi").take(3)]
+    if wrong:
+        raise ValueError(f"Sections overlap others or end before they start: {wrong}")
+    width = max(1, int(stored.agg(F.avg(F.col("__hi") - F.col("__lo") + 1)).first()[0] or 1))
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(width))
+    bins = stored.select("heading", "section", "__lo", "__hi", F.explode(F.sequence(bin_of("__lo"), bin_of("__hi"))).alias("__bin"))
+    rows = ledger.drop("heading", "section").withColumn("__no", F.col(account).try_cast("bigint"))
+    inside = (F.col("__bin") == F.floor(F.col("__no") / F.lit(width))) & F.col("__no").between(F.col("__lo"), F.col("__hi"))
+    return rows.join(bins, inside).drop("__no", "__bin", "__lo", "__hi")
+
+
 def resolve_name(
     obs: DataFrame, mapping: DataFrame, match: str = "variable", result: str = "path",
     variable: str = "variable", keys: Sequence[str] = ("period", "form"),

@@ -41,7 +41,7 @@ def hb_outliers(
     # Filters may be reordered, so no division here may raise on an untested unit.
     ratio = F.try_divide("x1", "x2")
     tested = flagged.where("__in").withColumn("ratio", ratio)
-    medians = settle(exact_quantiles(tested, strata, "ratio", {"__rm": 0.5}, accuracy).drop("n"))
+    medians = settle(exact_quantiles(tested, strata, "ratio", {"__rm": 0.5}, accuracy, stored=True).drop("n"))
 
     def scored(rows: DataFrame) -> DataFrame:
         s = F.when(F.col("ratio") < F.col("__rm"), 1 - F.try_divide("__rm", "ratio")).otherwise(
@@ -54,7 +54,7 @@ def hb_outliers(
         )
 
     quartiles = settle(exact_quantiles(
-        scored(tested), strata, "__E", {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}, accuracy
+        scored(tested), strata, "__E", {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}, accuracy, stored=True
     ).drop("n"))
     floor_d = F.abs(F.lit(float(p_a)) * F.col("__q2"))
     low = F.col("__q2") - p_c * F.greatest(F.col("__q2") - F.col("__q1"), floor_d)

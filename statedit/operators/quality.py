@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import null_safe_join
 from ..schema import FOREIGN_KEYS
-from ..scratch import settle
+from ..scratch import settle, small_table
 
 # Characters that make a column name unsafe.
 RISKY_CHARACTERS = (".", "/", "-", " ")
@@ -22,9 +23,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     The repeated keys are computed right away. They are few in a sound table and then
     broadcast, so that the rows themselves are not shuffled.
     """
-    repeated = settle(
-        df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), row_bytes=64 * len(keys)
-    )
+    repeated = settle(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"))
     return null_safe_join(df, repeated, keys, "left_semi")
 
 
@@ -65,20 +64,32 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def reference_report(tables: dict[str, DataFrame], periods: Sequence[str] = ("period",)) -> DataFrame:
-    """Number of orphans per declared foreign key among the tables given."""
-    parts = []
-    for child, references in FOREIGN_KEYS.items():
-        for parent, keys in references:
-            if child not in tables or parent not in tables:
-                continue
-            n = orphans(tables[child], tables[parent], [*periods, *keys]).agg(F.count("*").alias("n"))
-            parts.append(n.select(F.lit(child).alias("child"), F.lit(parent).alias("parent"), "n"))
-    if not parts:
+    """Number of orphans per declared foreign key among the tables given.
+
+    Every table is read once, whatever the number of its references: its rows become keys
+    tagged with the reference, which are counted before the one shuffle that brings keys of
+    children and parents together.
+    """
+    found = [(child, parent, [*periods, *keys]) for child, references in FOREIGN_KEYS.items() for parent, keys in references
+             if child in tables and parent in tables]
+    if not found:
         raise ValueError("No pair of tables with a declared reference was given.")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def tagged(name: str, side: int) -> DataFrame | None:
+        mine = [(i, keys) for i, (*pair, keys) in enumerate(found) if pair[side] == name]
+        if not mine:
+            return None
+        keyed = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.col(k).cast("string") for k in keys]).alias("key")) for i, keys in mine])
+        complete = F.filter(keyed, lambda x: ~F.exists(x["key"], lambda k: k.isNull()))
+        rows = tables[name].select(F.inline(complete))
+        return rows.select("i", "key", *[F.lit(int(side == s)).cast("bigint").alias(c) for s, c in ((0, "c"), (1, "p"))])
+
+    sides = [t for name in dict.fromkeys(n for child, parent, _ in found for n in (child, parent)) for s in (0, 1)
+             if (t := tagged(name, s)) is not None]
+    keys = reduce(lambda a, b: a.unionByName(b), sides).groupBy("i", "key").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
+    lost = keys.where("p = 0").groupBy("i").agg(F.sum("c").alias("n"))
+    names = small_table(next(iter(tables.values())).sparkSession, [(i, c, p) for i, (c, p, _) in enumerate(found)], "i int, child string, parent string")
+    return names.join(lost, "i", "left").select("child", "parent", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def types_per_variable(

@@ -26,10 +26,11 @@ def upsert(
     ``outcome`` says ``inserted``, ``updated`` or ``untouched``. A null in an update is
     written. Both sides must be unique on the key, so the join has no hot key.
 
-    The updates are computed and counted right away. A batch small enough to broadcast
-    leaves the existing table in place; a larger one meets it in a full outer join.
+    The updates are computed and stored right away. A batch whose files are below the
+    threshold of broadcasts leaves the existing table in place; a larger one meets it in a
+    full outer join.
     """
-    updates, small = measured(updates, row_bytes=64 * len(updates.columns))
+    updates, small = measured(updates)
 
     def marked(rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(c).alias(f"__u_{c}") for c in updates.columns], F.lit(True).alias("__u"))
@@ -37,9 +38,9 @@ def upsert(
     stored = existing.withColumn("__e", F.lit(True))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__u_{k}")) for k in keys])
     if small:
-        found = null_safe_join(existing.select(*keys), F.broadcast(updates.select(*keys)), keys, "left_semi")
+        found = null_safe_join(existing.select(*keys), updates.select(*keys), keys, "left_semi")
         added = marked(null_safe_join(updates, found, keys, "left_anti"))
-        joined = stored.join(F.broadcast(marked(updates)), on, "left").unionByName(added, allowMissingColumns=True)
+        joined = stored.join(marked(updates), on, "left").unionByName(added, allowMissingColumns=True)
     else:
         joined = stored.join(marked(updates), on, "full_outer")
 

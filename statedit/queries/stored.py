@@ -8,10 +8,13 @@ from ..operators import controls as C
 from ..operators import editlog as E
 from ..operators import filters as FL
 from ..operators import joins as J
+from ..operators import quality as Q
 from ..operators import rules as R
+from ..plans.adhoc import free_search
 from ..plans.rule_run import period_hits
 from ..plans.write_back import store_comments, store_hits, store_replaced, store_upsert
 from ..scratch import scratch_path
+from ..sources import tables
 from ..sources.versioned import Store
 from .editing import COMMENT_KEYS, CONTROL_SQL, RESULT_COLUMNS, RULE_SQL, RULES, SYNC_SQL, _context, _stored_rule_hits
 from .registry import query
@@ -255,3 +258,61 @@ def failing_rows(v):
 
     checks = {"period_status": X.year_status("period", 1996, 2000), "value_status": X.amount_status("value")}
     return FL.failing_rows(v.observations(), checks).select("ref", "variable", "value", *checks)
+
+
+# --- sections, partitions and references as data ----------------------------------------------
+
+
+@query("""
+    WITH s AS MATERIALIZED (
+        SELECT 'h' || CAST(p_size AS VARCHAR) AS heading, CAST(p_partkey AS VARCHAR) AS section, 1000 + 4 * p_partkey AS lo, 1000 + 4 * p_partkey + p_size % 4 AS hi
+        FROM part)
+    SELECT seq, account, amount, heading, section FROM chart_ledger JOIN s ON CAST(account AS INTEGER) BETWEEN lo AND hi""", "chart_ledger")
+def assign_section_by_table(v):
+    """Every part is a section of one to four accounts."""
+    start = F.lit(1000) + F.col("p_partkey") * 4
+    sections = v.source("part").select(
+        F.concat(F.lit("h"), F.col("p_size").cast("string")).alias("heading"), F.col("p_partkey").cast("string").alias("section"),
+        start.alias("start"), (start + F.col("p_size") % 4).alias("end"))
+    out = J.assign_section_by_table(v.chart_ledger(), sections)
+    return out.withColumn("amount", F.col("amount").cast("decimal(38,2)"))
+
+
+@query("""
+    WITH busy AS (SELECT period, form FROM receipts GROUP BY 1, 2 QUALIFY row_number() OVER (ORDER BY count(*) DESC, period, form) <= 5)
+    SELECT r.period, r.form, r.unit, r.ref, r.active FROM receipts r JOIN busy USING (period, form)""", "receipts")
+def scan_chosen(v):
+    """The five folders with most responses, found by a query."""
+    path = scratch_path(v.spark, "receipts")
+    receipts = v.receipts().select("period", "form", "unit", "ref", "active")
+    receipts.hint("rebalance", "period", "form").write.partitionBy("period", "form").parquet(path)
+    busy = receipts.groupBy("period", "form").count().orderBy(F.desc("count"), "period", "form").limit(5)
+    return tables.scan_chosen(v.spark, path, busy.select("period", "form")).select("period", "form", "unit", "ref", "active")
+
+
+@query("""
+    SELECT r.* FROM receipts r WHERE NOT EXISTS (
+        SELECT 1 FROM customer c WHERE CAST(c.c_custkey AS VARCHAR) = r.unit AND c.c_mktsegment <> 'BUILDING')""", "receipts")
+def orphans_of_a_segment(v):
+    """Responses of units that a frame without one segment does not have."""
+    frame = v.source("customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("unit"))
+    return Q.orphans(v.receipts(), frame, ["unit"])
+
+
+@query("""
+    WITH u AS MATERIALIZED (SELECT period, unit FROM units WHERE split_part(form, ',', 1) <> 'BUILDING'),
+    r AS MATERIALIZED (SELECT period, form, unit, ref FROM receipts WHERE active)
+    SELECT 'receipts' AS child, 'units' AS parent, (SELECT count(*) FROM r WHERE (period, unit) NOT IN (SELECT period, unit FROM u)) AS n
+    UNION ALL SELECT 'observations', 'receipts', (SELECT count(*) FROM observations o WHERE (period, form, unit, ref) NOT IN (SELECT period, form, unit, ref FROM r))""",
+       "units receipts observations")
+def reference_report_orphans(v):
+    """Two broken references: units without a segment, and only active responses."""
+    return Q.reference_report({
+        "units": v.units().where("split_part(form, ',', 1) <> 'BUILDING'"), "receipts": v.receipts().where("active"), "observations": v.observations()})
+
+
+@query("SELECT unit, count(*) AS n FROM receipts WHERE period = 1997 AND active GROUP BY unit HAVING count(*) >= 2", "receipts")
+def free_search_args(v):
+    return free_search(
+        v.spark, "WITH a AS (SELECT * FROM receipts WHERE active) SELECT unit, count(*) AS n FROM a GROUP BY unit HAVING count(*) >= :least",
+        {"receipts": v.receipts()}, {"period": [1997]}, {"least": 2})

@@ -41,27 +41,38 @@ def materialize(df: DataFrame) -> DataFrame:
     A lost executor then costs a read and not the computation, and Catalyst knows the
     size of what it joins.
     """
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-BROADCAST_BYTES = 64 << 20
+def settle(df: DataFrame) -> DataFrame:
+    """A small table of statistics, computed once and stored.
 
+    There is no hint: Catalyst broadcasts it below its threshold, by the size of the files,
+    and joins by a shuffle beyond.
+    """
+    return materialize(df)
 
-def measured(df: DataFrame, row_bytes: int = 256) -> tuple[DataFrame, bool]:
-    """The table computed once, and whether its counted size allows a broadcast."""
-    stored = materialize(df)
-    return stored, stored.count() * row_bytes <= BROADCAST_BYTES
 
+def measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The table computed once, and whether its files are below the threshold of broadcasts."""
+    spark = df.sparkSession
+    stored, path = _stored(df)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return stored, size <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
-def settle(df: DataFrame, row_bytes: int = 256) -> DataFrame:
-    """A small table computed once, with a broadcast hint if its counted size allows.
 
-    Beyond ``BROADCAST_BYTES`` there is no hint and joins shuffle.
-    """
-    stored, small = measured(df, row_bytes)
-    return F.broadcast(stored) if small else stored
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once no DataFrame needs them."""
+    path = f"{shared_dir(spark)}/statedit-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import matches
-from ..functions.frames import one_per_key
+from ..functions.frames import null_safe_join, one_per_key
 from ..operators.filters import align_columns
 from ..operators.quality import check_column_names, require_unique
 from ..schema import core_schemas, partition_columns
+from ..scratch import materialize
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -51,6 +53,28 @@ def scan_table(
     return reader.parquet(path).where(matches(partitions))
 
 
+#: Partitions that are named in a predicate; beyond, the choice is joined.
+MOST_NAMED = 1000
+
+
+def scan_chosen(spark: SparkSession, path: str, wanted: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of a partitioned table whose partition columns occur in ``wanted``, a computed choice.
+
+    The distinct choice is computed right away. Up to ``MOST_NAMED`` partitions become a
+    predicate, so that no file of another folder is opened; a larger choice is joined, where
+    Spark prunes at run time. Null in ``wanted`` means the folder of nulls. The columns of
+    ``wanted`` must be partition columns.
+    """
+    columns = wanted.columns
+    chosen = materialize(wanted.distinct())
+    rows = chosen.limit(MOST_NAMED + 1).collect()
+    table = scan_table(spark, path, schema=schema)
+    if len(rows) > MOST_NAMED:
+        return null_safe_join(table, chosen, columns, "left_semi")
+    tests = [reduce(lambda a, b: a & b, [F.col(c).isNull() if v is None else F.col(c) == v for c, v in zip(columns, r)]) for r in rows]
+    return table.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+
+
 def read_parquet_checked(spark: SparkSession, path: str, id_vars: Sequence[str], allow_risky_names: bool = False) -> DataFrame:
     """Parquet whose key must be unique and whose column names must be safe."""
     if not isinstance(id_vars, list) or not all(isinstance(v, str) for v in id_vars):

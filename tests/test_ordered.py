@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from statedit.functions import ordered
 from statedit.functions.ordered import exact_quantiles, rank_within, running_total
 
 PROBS = {"lo": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "p90": 0.9, "hi": 1.0}
@@ -51,7 +52,7 @@ def test_running_total(spark):
     rows = [("a", i, rng.randint(1, 9)) for i in range(700)] + [("b", 5, 2), ("b", 1, 1), ("b", None, 4)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, k int, n int")
-    total = {(r.g, r.k): r.running for r in running_total(df, ["g"], F.col("k"), "n", buckets=16).collect()}
+    total = {(r.g, r.k): r.running for r in running_total(df, ["g"], F.col("k"), "n", range_rows=40).collect()}
     for group in ("a", "b"):
         run = 0
         for _, k, n in sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is None, r[1])):
@@ -59,7 +60,14 @@ def test_running_total(spark):
             assert total[group, k] == run
 
 
-def test_rank_within_equals_the_window_rank(spark, rows):
+def test_running_total_of_one_range(spark, rows):
+    df = spark.createDataFrame([("a", 2, 1), ("a", 1, 5), ("b", None, 7), ("a", None, 2)], "g string, k int, n int")
+    assert rows(running_total(df, ["g"], F.col("k"), "n"), "g", "k", "running") == [("a", None, 8), ("a", 1, 5), ("a", 2, 6), ("b", None, 7)]
+    assert running_total(df.limit(0), ["g"], F.col("k"), "n").count() == 0
+
+
+def test_rank_within_equals_the_window_rank(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 60)
     rng = random.Random(3)
     data = [("hot", rng.choice([1.0, 1.0, 1.0, rng.random() * 50])) for _ in range(800)]
     data += [("cold", float(i % 4)) for i in range(20)] + [("cold", None)]
