@@ -38,6 +38,28 @@ def test_hot_group_is_split(spark):
     assert len(size) == 16 and max(size.values()) < 1.15 * min(size.values())
 
 
+def test_whole_groups_and_odd_numbers(spark):
+    """Groups of most of a shard stay whole, beside others; the shards are equal, and need not be a power of two."""
+    rows = [(i, "g" * 99 + str(i % 2), "en", "s", 1, "x") for i in range(130)]  # two groups of 0.65 shard each
+    rows += [(1000 + i, f"{i:09d}", "en", f"s{i % 3}", 1, "x") for i in range(8700)]
+    for shards in (10, 7, 1):
+        size, where = Counter(), defaultdict(set)
+        for r in S.shard(spark.createDataFrame(rows, SCHEMA), shards).collect():
+            size[r.shard] += r.size
+            where[r.text_crc32].add(r.shard)
+        assert len(size) == shards and max(size.values()) < 1.05 * min(size.values())
+        assert all(len(s) == 1 for s in where.values())
+
+
+def test_pieces_do_not_depend_on_ids(spark):
+    """A group of a third of all bytes whose rows have no id, or all the same."""
+    rows = [(None if i % 2 else 4, "hot text", "en", "s", 1, "x") for i in range(2000)] + [(i, f"other {i:05d}", "en", "s", 1, "x") for i in range(2000)]
+    size = Counter()
+    for r in S.shard(spark.createDataFrame(rows, SCHEMA)).collect():
+        size[r.shard] += r.size
+    assert len(size) == 16 and max(size.values()) < 1.2 * min(size.values())
+
+
 def test_small_tables(spark):
     assert S.shard(spark.createDataFrame([], SCHEMA)).count() == 0
     got = S.shard(spark.createDataFrame([(None, None, None, None, 1, ""), (None, None, None, None, 1, ""), (5, "a" * 300_000, "x", "y", 1, "")], SCHEMA)).collect()
