@@ -26,13 +26,15 @@ def parse_lines(text: Column) -> Column:
         F.regexp_replace(x, _MARKS, "").alias("line")))
 
 
-def passages(lines: str) -> Column:
-    """Array of (level, text): runs of lines of one level, joined by line breaks."""
-    return F.expr(f"""aggregate({lines}, cast(array() as array<struct<level:int,text:array<string>>>), (acc, x) ->
-        if(size(acc) > 0 and element_at(acc, -1).level = x.level,
-           concat(slice(acc, 1, size(acc) - 1), array(struct(x.level as level, concat(element_at(acc, -1).text, array(x.line)) as text))),
-           concat(acc, array(struct(x.level as level, array(x.line) as text)))),
-        acc -> transform(acc, p -> struct(p.level as level, array_join(p.text, '\n') as text)))""")
+def run_starts(lines: str) -> Column:
+    """Positions of the lines whose level differs from that of the line before."""
+    return F.expr(f"filter(sequence(0, size({lines}) - 1), i -> i = 0 or {lines}[i].level <> {lines}[i - 1].level)")
+
+
+def passages(lines: str, starts: str) -> Column:
+    """Array of (level, text): runs of lines of one level, joined by line breaks. Every line is copied once."""
+    return F.expr(f"""transform({starts}, (s, k) -> struct({lines}[s].level as level, array_join(transform(
+        slice({lines}, s + 1, coalesce(get({starts}, k + 1), size({lines})) - s), x -> x.line), '\n') as text))""")
 
 
 def normal(text: Column) -> Column:
@@ -61,9 +63,10 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     own = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
     own = F.regexp_replace(own, r"^\s+|\s+$", "")
     levels = F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0))
+    rows = rows.withColumn("starts", F.when(levels > 0, run_starts("lines")))
     parsed = materialize(rows.select(
         "conv_id", "turn", "role", own.alias("body"), levels.alias("quote_levels"),
-        F.filter(F.when(levels > 0, passages("lines")), lambda p: p["level"] > 0).alias("quotes")))
+        F.filter(passages("lines", "starts"), lambda p: p["level"] > 0).alias("quotes")))
 
     quotes = parsed.where("quote_levels > 0 and conv_id is not null and turn is not null").select(
         "conv_id", "turn", F.inline("quotes").alias("level", "quote")).select(
@@ -94,5 +97,20 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         "conv_id", "position", "turn", "role", "body", "quote_levels", "parent_turn", "root_turn", "depth")
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """``messages`` as a mail thread has them: every second turn quotes the one before, its quotes included.
+
+    The text of the turn before stands in front, each line behind ``> ``. Of several rows of
+    one turn the smallest text is quoted.
+    """
+    before = messages.groupBy(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t")).agg(F.min("text").alias("quoted"))
+    marked = F.regexp_replace(F.concat(F.lit("> "), F.col("quoted")), "\n", "\n> ")
+    answers = F.col("quoted").isNotNull() & (F.col("turn") % 2 == 0)
+    text = F.when(answers, F.concat_ws("\n\n", marked, "text")).otherwise(F.col("text"))
+    joined = messages.join(before, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    return joined.select("conv_id", "turn", "role", text.alias("text"))
+
+
 def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    """The table's messages hold no quotes, so its even turns quote the turn before first."""
+    return link_quotes(quoting(table(spark, sf_dir, "conversations")))

@@ -94,3 +94,20 @@ def test_empty_null_and_repeated_rows(spark):
     got = Q.link_quotes(spark.createDataFrame(odd, SCHEMA)).collect()
     assert len(got) == 6 and sorted((str(r.conv_id), r.position) for r in got) == [("5", 0), ("5", 1), ("5", 2), ("5", 3), ("None", 0), ("None", 1)]
     assert Counter(r.parent_turn for r in got) == {None: 5, 1: 1}
+
+
+def test_long_quotes_are_linear(spark):
+    """Twenty thousand quoted lines of two levels in turn."""
+    lines = [("> " if i % 2 else "> > ") + f"line {i}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, 1, "a", "line 7"), (1, 2, "b", "\n".join(lines) + "\nwell")], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.body, r.quote_levels) for r in Q.link_quotes(df).collect()}
+    assert got[2] == (1, "well", 2)
+
+
+def test_query_links_quotes(spark, tmp_path):
+    rows = [(c, t, "u", f"message {t} of {c}\nsecond line") for c in (1, 2, None) for t in range(1, 6)] + [(1, 2, "u", "message 2 of 1, again"), (1, 6, "u", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r.conv_id, r.turn, r.parent_turn) for r in Q.op4_quotation_linking(spark, str(tmp_path)).where("conv_id is not null").collect())
+    links = {1: None, 2: 1, 3: None, 4: 3, 5: None}
+    assert got == sorted([(c, t, p) for c in (1, 2) for t, p in links.items()] + [(1, 2, 1), (1, 6, 5)], key=str) or set(got) == {
+        *((c, t, p) for c in (1, 2) for t, p in links.items()), (1, 6, 5)}
