@@ -17,6 +17,8 @@ from .common import materialize, table
 #: Tokens of a window, those of them at least that are no placeholder, and the share of an
 #: item's windows that must be found on one diagonal.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Tokens of an item at least; fewer say nothing that ordinary text does not say.
+SHORTEST = 4
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute",
     "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "miles", "mile", "feet", "foot",
@@ -66,9 +68,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     ``windows`` of the item's ``item_windows`` are found on the best diagonal, which begins at
     token ``at`` of the document; ``slots`` placeholder values stand against each other and
-    ``changed`` of them differ. Of equal diagonals the first counts. Items with fewer tokens
-    than a window, null and empty texts match nothing. Repeated rows of a document or item
-    count once; ids may be null. Every window of every document is looked at.
+    ``changed`` of them differ. Of equal diagonals the first counts. Items shorter than a
+    window, and items of which no window has enough literals, are found only as they are: one
+    window stands for the whole item, which is compared token by token with its values.
+    Items of fewer than ``SHORTEST`` tokens, null and empty texts match nothing. Repeated rows
+    of a document or item count once; ids may be null. Every window of every document is
+    looked at.
     """
     items = benchmark.select(F.col(item).alias("item_id"), typed_tokens(F.col(item_text)).alias("item_tokens")).distinct()
     items = materialize(items.withColumn("h", template(F.col("item_tokens"))))
@@ -99,12 +104,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     pairs = F.filter(F.arrays_zip(ours.alias("a"), theirs.alias("b")), lambda p: p["a"].startswith("\x01") & p["b"].startswith("\x01"))
     found = found.withColumn("pairs", pairs).withColumn("kinds", F.array_distinct("pairs"))
     found = found.where(F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda p: p["a"]))))
+    fields = ["doc_id", "item_id", "windows", "at", "item_windows", "slots", "changed"]
+    found = found.withColumn("slots", F.size("pairs")).withColumn(
+        "changed", F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))).select(*fields)
+    whole = _whole_items(texts, items, sizes, window)
+    found = found if whole is None else found.unionByName(whole.select(*fields))
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct(
-        (-F.col("windows")).alias("w"), F.col("at"), F.col("item_windows"), F.size("pairs").alias("slots"),
-        F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("changed"))).alias("r"))
+        (-F.col("windows")).alias("w"), "at", "item_windows", "slots", "changed")).alias("r"))
     return best.select("doc_id", "item_id", (-F.col("r.w")).alias("windows"), "r.item_windows", "r.at", "r.slots", "r.changed")
 
 
+def _whole_items(texts: DataFrame, items: DataFrame, sizes: DataFrame, window: int) -> DataFrame | None:
+    """Places where an item without windows of its own stands as it is; None if all items have windows."""
+    known = sizes.select("i", "v")
+    short = items.select("item_id", F.xxhash64("item_tokens").alias("version"), "item_tokens").join(
+        known, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left_anti").where(F.size("item_tokens") >= SHORTEST)
+    first = F.slice("item_tokens", F.lit(1), F.least(F.size("item_tokens"), F.lit(window)))
+    short = materialize(short.select("item_id", "item_tokens", F.size(first).alias("n"), F.xxhash64(first).alias("window")))
+    lengths = [r.n for r in short.select("n").distinct().collect()]  # from the shortest to a window
+    if not lengths:
+        return None
+    tokens = texts.select("doc_id", "text_hash", typed_tokens(F.col("text")).alias("tokens"))
+    runs = F.concat(*[F.expr(
+        f"transform(if(size(tokens) < {n}, array(), sequence(0, size(tokens) - {n})), i -> struct({n} as n, i as at, xxhash64(slice(tokens, i + 1, {n})) as window))")
+        for n in sorted(lengths)])
+    met = tokens.select("doc_id", "text_hash", F.inline(runs)).join(short, ["n", "window"]).distinct()
+    met = materialize(met.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}))
+    again = tokens.dropDuplicates(["doc_id", "text_hash"]).join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    same = F.slice("tokens", F.col("at") + 1, F.size("item_tokens")) == F.col("item_tokens")
+    one = F.lit(1).cast("bigint")
+    return again.where(same).select(
+        "doc_id", "item_id", one.alias("windows"), one.alias("item_windows"), "at",
+        F.size(F.filter("item_tokens", lambda x: x.startswith("\x01"))).alias("slots"), F.lit(0).alias("changed"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -86,3 +86,14 @@ def test_planted_items_go_and_others_stay(spark):
     kept = D.stage(spark, docs, sf)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == planted
+
+
+def test_short_items_as_they_are(spark):
+    items = [(1, "What is the capital of France?"), (2, "12 34 56 78 90 11 22 33 44 55"), (3, "Yes"), (4, None), (None, "so it goes on")]
+    docs = [(1, "He asked: what is the CAPITAL of France? Nobody knew."), (2, "See 12 34 56 78 90 11 22 33 44 55 there."),
+            (3, "See 12 34 56 78 90 11 22 33 44 56 there."), (4, "What is the capital of Norway?"), (5, "Yes"), (None, "And so it goes on and on."), (6, None)]
+    d = spark.createDataFrame([(*r, 0) for r in docs + docs[:1]], "doc_id long, text string, n int")
+    b = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, n int")
+    got = sorted((str(r.doc_id), str(r.item_id), r.windows, r.item_windows, r["at"], r.changed) for r in D.find_leaks(d, b).collect())
+    assert got == [("1", "1", 1, 1, 2, 0), ("2", "2", 1, 1, 1, 0), ("None", "None", 1, 1, 1, 0)]
+    assert D.find_leaks(d, b.limit(0)).count() == 0
