@@ -3,7 +3,6 @@ import random
 
 import pytest
 
-from statedit import scratch
 from statedit.operators import rules as R
 from statedit.operators.upsert import insert_new, replace_scope, upsert
 from statedit.plans.rule_run import run_rules_for_changes, run_rules_for_period, run_rules_for_submission
@@ -120,9 +119,11 @@ def test_rule_hits_order(spark):
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_upserts(spark, rows, monkeypatch, plan, limit):
+def test_upserts(spark, rows, request, plan, limit):
     """Both ways of joining: a batch too large to broadcast, and a small one."""
-    monkeypatch.setattr(scratch, "BROADCAST_BYTES", limit)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit - 1)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before))
     old = spark.createDataFrame([(1, "a", 5, "k"), (1, None, 6, "k")], "seq int, account string, amount int, note string")
     new = spark.createDataFrame([(1, None, 7), (2, "a", 8)], "seq int, account string, amount int")
     assert rows(upsert(old, new, ["seq", "account"], ["amount"])) == [
