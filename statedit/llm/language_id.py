@@ -128,5 +128,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go; columns stay as they are."""
     dictionaries = fit_dictionaries(docs.where(~held_out()))
-    judged = docs.withColumn("__judged", identify(spark, dictionaries, F.col("text")))
-    return judged.where("__judged.accepted").drop("__judged")
+    name = "__judged"
+    while name in docs.columns:
+        name += "_"
+    judged = docs.withColumn(name, identify(spark, dictionaries, F.col("text")))
+    return judged.where(F.col(name)["accepted"]).drop(name)

@@ -45,6 +45,35 @@ def test_sample_is_bounded(spark):
     assert all(0 < len(x) <= 3 * 51 for x in d.values())
 
 
+def test_equals_plain_one_shot_compression(spark):
+    """The same choice from a fresh compressor per block and dictionary, written out in full."""
+    import zstandard as z
+
+    docs = corpus(spark)
+    d = L.fit_dictionaries(docs.where(~L.held_out()))
+    params = z.ZstdCompressionParameters(**L.COMPRESSION, strategy=z.STRATEGY_LAZY, write_content_size=False, write_dict_id=False)
+
+    def size(text, content):
+        data, total = text.lower().encode(), 0
+        for i in range(0, len(data), L.BLOCK_BYTES):
+            own = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            total += len(z.ZstdCompressor(dict_data=own, compression_params=params).compress(data[i:i + L.BLOCK_BYTES]))
+        return total
+
+    mixed = [(500 + i, a * 3 + b * i * 400) for i, (a, b) in enumerate([("kal mor tin ", "zuu bop wex "), ("yim cha ", "sel vak mor "), ("Æ kal ", "zuu ")])]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(mixed, "doc_id long, text string"))
+    for r in judge(spark, df, d).collect():
+        sizes = sorted((size(r.text, c), name) for name, c in d.items())
+        lead = sizes[1][0] - sizes[0][0]
+        assert r.j.lang_pred == sizes[0][1] and r.j.accepted == (lead >= max(2, L.MIN_MARGIN * sizes[0][0]))
+        assert abs(r.j.margin - lead / sizes[0][0]) < 1e-12
+
+
+def test_stage_keeps_a_clashing_column(spark):
+    docs = corpus(spark).selectExpr("*", "1 AS __judged")
+    assert L.stage(spark, docs, "").columns == docs.columns
+
+
 def test_stage_keeps_columns_and_clean_documents(spark):
     docs = corpus(spark).unionByName(spark.createDataFrame([(900, "???", "aa", "y")], corpus(spark).schema))
     kept = L.stage(spark, docs, "")
