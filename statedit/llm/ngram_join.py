@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NEAR_PERCENT, SHINGLE_WORDS, materialize, shingle_hashes, table, texts_of
@@ -37,11 +37,16 @@ FILTER_PERCENT = 40
 #: Entries of a fragment of the filter, and fragments at least; leading bits of a hash that name the fragment when
 #: overlaps are counted.
 FRAGMENT_ENTRIES, LEAST_FRAGMENTS, OVERLAP_BITS = 1_500_000, 64, 2
+#: Entries that a task gathers before it sends them on.
+TASK_ENTRIES = 1_500_000
 #: Bits of the Bloom filter that spares the second read documents without a partner. Its
 #: size is fixed; what it lets through by chance is removed by an exact join.
 BLOOM_BITS = 1 << 25
-#: Candidate pairs, per row of the prefix table and besides, that are compared in one go.
-PAIRS_PER_ROW, LEAST_PAIRS = 1, 20_000
+#: Pairs within groups, per row of the prefix table and besides, that are looked at in one go; behind the first
+#: rounds more, for then most are the same few pairs in many groups, or share too little by their counts.
+PAIRS_PER_ROW, LEAST_PAIRS, LATER_PAIRS = 1, 20_000, 256
+#: Rounds of stars before that, and rounds with a single centre per group.
+STAR_ROUNDS, SINGLE_CENTRE_ROUNDS = 2, 3
 
 
 def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -118,26 +123,27 @@ def _fragments(docs: DataFrame, words: int, percent: int, filter_percent: int, f
         return np.where(h < edge, low, high)
 
     def emit(entities: list[int], parts: list[np.ndarray]):
+        doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         h = np.concatenate(parts)
-        doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        new = np.concatenate(([True], hs[1:] != hs[:-1]))
-        run = np.cumsum(new) - 1
-        repeated = np.bincount(run)[run] > 1
-        known = np.bincount(doc[order][repeated], minlength=len(parts))
+        parts.clear()
+        order = np.argsort(h, kind="stable").astype(np.int32)
+        h, doc = h[order], doc[order]
+        del order
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        single = new & np.concatenate((new[1:], [True]))
+        known = np.bincount(doc[~single], minlength=len(entities))
         ents = np.array(entities, np.int64)
         if known.any():
             some = known > 0
             yield None, known[some].tobytes(), ents[some].tobytes()
-        single = np.ones(len(h), bool)
-        single[order[repeated]] = False
-        witness = hs[repeated & new]
-        h, doc = np.concatenate((h[single], witness)), np.concatenate((doc[single], np.full(len(witness), len(ents))))
+        doc[~single] = len(ents)  # the first of a repeated entry goes on as its witness
+        h, doc = h[new], doc[new]
+        del new, single
         ents = np.append(ents, 0)
-        where = place(h)
+        where = place(h).astype(np.int32)
         order = np.lexsort((doc, where))
         h, doc, where = h[order], doc[order], where[order]
+        del order
         cut = np.flatnonzero(np.diff(where)) + 1
         for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(h)]))):
             if a < b:
@@ -161,7 +167,7 @@ def _fragments(docs: DataFrame, words: int, percent: int, filter_percent: int, f
                 entities.append(ent)
                 parts.append(part.copy())
                 size += len(part)
-            if size > 4_000_000:
+            if size > TASK_ENTRIES:
                 yield from emit(entities, parts)
                 entities, parts, size = [], [], 0
                 seen.clear()
@@ -178,29 +184,36 @@ def _fragments(docs: DataFrame, words: int, percent: int, filter_percent: int, f
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the fragments in a partition: per entity the entries that another entity has as well."""
-    found, hashes, ents = [], [], []
+    """Of the fragments in a partition: per entity the entries that another entity has as well.
+
+    Fragments wait in packed form and are unpacked one at a time.
+    """
+    waiting: dict[int, list[tuple[bytes, bytes]]] = {}
+
+    def send(e: np.ndarray, c: np.ndarray):
+        for i in range(0, len(e), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(e[i:i + (1 << 16)]), pa.array(c[i:i + (1 << 16)])], names=["ent", "shared"])
+
     for batch in batches:
         for fragment, h, runs in zip(*(c.to_pylist() for c in batch.columns)):
             if fragment is None:
-                found.append((np.frombuffer(runs, np.int64), np.frombuffer(h, np.int64)))
+                yield from send(np.frombuffer(runs, np.int64), np.frombuffer(h, np.int64))
             else:
-                r = np.frombuffer(runs, np.int64).reshape(-1, 2)
-                hashes.append(np.frombuffer(h, np.uint64))
-                ents.append(np.repeat(r[:, 0], r[:, 1]))
-    if hashes:
-        h, e = np.concatenate(hashes), np.concatenate(ents)
-        hashes, ents = [], []
+                waiting.setdefault(fragment, []).append((h, runs))
+    while waiting:
+        _, packed = waiting.popitem()
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in packed])
+        pairs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for _, x in packed])
+        packed.clear()
+        e = np.repeat(pairs[:, 0], pairs[:, 1])
         order = np.lexsort((e, h))
         h, e = h[order], e[order]
+        del order
         keep = np.concatenate(([True], (h[1:] != h[:-1]) | (e[1:] != e[:-1])))
         h, e = h[keep], e[keep]
-        run = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-        shared = (np.bincount(run)[run] > 1) & (e != 0)
-        found.append(np.unique(e[shared], return_counts=True))
-    for e, c in found:
-        for i in range(0, len(e), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(e[i:i + (1 << 16)]), pa.array(c[i:i + (1 << 16)])], names=["ent", "shared"])
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        shared = ~(new & np.concatenate((new[1:], [True]))) & (e != 0)
+        yield from send(*np.unique(e[shared], return_counts=True))
 
 
 def _bloom(spark: SparkSession, ids: DataFrame):
@@ -262,8 +275,10 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
     members; the centre is the set with the fewest entries of its own, as an original among
     its copies is. Members that link take over the smallest label around them, and the centre
     leaves the group, for it has no untested partner there. Groups of a single label are
-    done. Once the pairs left are few beside the rows, by a measure that doubles each round,
-    all of them are compared.
+    done, and of groups with the same members one goes on. Once the pairs left in the groups are
+    few beside the rows of the start, all of them go on at once, each from the first of
+    the groups that have both sets, so a pair is formed once. Groups that do not come
+    together in the first rounds have eight times as many centres in each further one.
 
     An overlap is at most the smaller count of shared entries, so a set that shares too little
     of itself (``low``) cannot link with another such set: of those no pairs are formed.
@@ -277,27 +292,37 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
     links = tested
     turn = 0
     while True:
-        per = members.groupBy("hash", "comp").agg(F.count("*").alias("m"), F.sum("low").alias("l"))
+        per = members.groupBy("hash", "comp").agg(
+            F.count("*").alias("m"), F.sum("low").alias("l"),
+            F.bit_xor(F.xxhash64("ent")).alias("x"), F.bit_xor(F.xxhash64("ent", F.lit(1))).alias("y"))
         across = lambda c: F.sum(c) * F.sum(c) - F.sum(F.col(c) * F.col(c))
-        groups = per.groupBy("hash").agg(((across("m") - across("l")) / 2).alias("pairs")).where("pairs > 0")
+        groups = per.groupBy("hash").agg(
+            ((across("m") - across("l")) / 2).alias("pairs"), F.sum("m").alias("m"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        groups = groups.where("pairs > 0").groupBy("m", "x", "y").agg(F.min("hash").alias("hash"), F.first("pairs").alias("pairs"))
         groups = materialize(groups)
         left = groups.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
         if not left:
             break
         members = members.join(groups.select("hash"), "hash")
         named = lambda x: [F.col(c).alias(c[0] + x) for c in ("own", "n", "comp", "low")]
-        b = members.select("hash", F.col("ent").alias("b"), *named("b"))
-        last = left <= (PAIRS_PER_ROW * rows + LEAST_PAIRS) * 2 ** turn
+        most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+        enough = most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+        last = left <= PAIRS_PER_ROW * (1 if turn < STAR_ROUNDS else LATER_PAIRS) * rows + LEAST_PAIRS
         if last:
-            a = members.select("hash", F.col("ent").alias("a"), *named("a"))
-            pairs = a.join(b, "hash").where("a < b and ca <> cb and la + lb < 2")
+            members = materialize(members)
+            lists = members.groupBy("ent").agg(F.array_sort(F.collect_list("hash")).alias("hs"))
+            wide = members.join(lists, "ent")
+            a = wide.select("hash", F.col("ent").alias("a"), *named("a"), F.col("hs").alias("sa"))
+            b = wide.select(F.col("hash").alias("g"), F.col("ent").alias("b"), *named("b"), F.col("hs").alias("sb"))
+            once = F.col("hash") == F.array_min(F.array_intersect("sa", "sb"))
+            pairs = a.join(b, (F.col("hash") == F.col("g")) & F.expr("a < b and ca <> cb and la + lb < 2") & enough & once)
         else:
-            key = F.struct("low", "own", F.xxhash64("ent", F.lit(turn)).alias("o"))
-            centres = materialize(members.groupBy("hash").agg(F.min_by(F.struct("ent", "own", "n", "comp", "low"), key).alias("c")))
-            a = centres.select("hash", "c.*").select("hash", F.col("ent").alias("a"), *named("a"))
-            pairs = a.join(b, "hash").where("ca <> cb and la + lb < 2")
-        most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-        pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+            b = members.select("hash", F.col("ent").alias("b"), *named("b"))
+            first = Window.partitionBy("hash").orderBy("low", "own", F.xxhash64("ent", F.lit(turn)), "ent")
+            several = 8 ** max(0, turn - SINGLE_CENTRE_ROUNDS + 1)
+            centres = materialize(members.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= several).drop("__r"))
+            a = centres.select("hash", F.col("ent").alias("a"), *named("a"))
+            pairs = a.join(b, "hash").where("ca <> cb and la + lb < 2").where(enough)
         first, second = F.struct("a", "na", "ca"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("cb").alias("ca"))
         pairs = pairs.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).select(
             F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"),
@@ -314,7 +339,7 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
         # two steps along the links: to the centre, and from there to the smallest around it
         step = near.select(F.col("e").alias("near"), F.col("near").alias("far"))
         label = near.join(step, "near", "left").select("e", F.least("e", "near", "far").alias("new"))
-        rest = members.join(centres.select("hash", F.col("c.ent").alias("ent")), ["hash", "ent"], "left_anti")
+        rest = members.join(centres.select("hash", "ent"), ["hash", "ent"], "left_anti")
         members = materialize(rest.join(label, F.col("comp") == F.col("e"), "left").select(
             "hash", "ent", "n", "own", "low", F.least("comp", "new").alias("comp")))
         turn += 1
@@ -367,6 +392,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays."""
-    keep = near_classes(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(docs.columns)
+    """Pipeline stage: of each component one row stays, that with the smallest id.
+
+    Rows are judged one by one, whatever their id: of repeated rows one stays, of several
+    texts under one id each is judged by its own links, and a row without an id stays only
+    where its component has no id. Texts without words link with nothing and stay.
+    """
+    node = "__node"
+    while node in docs.columns:
+        node += "_"
+    numbered = materialize(docs.withColumn(node, F.monotonically_increasing_id()))
+    classes = near_classes(numbered, key=node).select(F.col("doc_id").alias(node), F.col("component_id").alias("__component"))
+    first = Window.partitionBy("__component").orderBy(F.asc_nulls_last("__id"), node)
+    rows = numbered.select(node, F.col("doc_id").alias("__id")).join(classes, node)
+    kept = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(node)
+    return numbered.join(kept, node, "left_semi").select(*docs.columns)

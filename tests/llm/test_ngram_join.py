@@ -72,6 +72,31 @@ def test_stage_keeps_one_of_each_group(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute(docs)}
 
 
+def test_stage_judges_rows_not_ids(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    near = [*t[:-1], "end"]
+    docs = [(1, t, "x"), (None, t, "copy without id"), (None, near, "near copy without id"), (7, ["own"] * 9, "y"), (7, near, "near copy under another id"),
+            (None, ["single", "text"], "only one"), (None, ["single", "text"], "its copy"), (5, None, "null"), (5, None, "null")]
+    df = spark.createDataFrame([(k, w and " ".join(w), n, 0) for k, w, n in docs], "doc_id long, text string, note string, `__node` int").repartition(3)
+    kept = N.stage(spark, df, "")
+    assert kept.columns == df.columns
+    notes = sorted(r.note for r in kept.collect())
+    one = [n for n in notes if n in ("its copy", "only one")]
+    assert len(one) == 1 and [n for n in notes if n not in one] == ["null", "null", "x", "y"]
+
+
+def test_groups_of_unlinked_members(spark, monkeypatch):
+    """Many documents with rare shingles in common that do not link: centres double until all is compared."""
+    monkeypatch.setattr(N, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(N, "LEAST_PAIRS", 5)
+    monkeypatch.setattr(N, "SINGLE_CENTRE_ROUNDS", 1)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(40)]
+    docs = [(k, " ".join([*shared, *(f"g{k // 4}w{i}" for i in range(rng.choice([9, 16, 30])))])) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in N.near_classes(df).collect()) == brute(docs)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 8), (7, 9), (5, 1), (20, 21), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
