@@ -59,6 +59,9 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -69,6 +72,21 @@ class WordIds:
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ends = np.zeros(1 << 14, bool)
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word. Words of Latin letters go through as one text: the last token of each ends it."""
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w]
+        out: dict[str, bytes] = {}
+        if plain and self.word_end.any():
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                packed, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out = {w: packed[i:j] for w, i, j in zip(plain, cut, cut[1:])}
+        rest = [w for w in words if w not in out]
+        for w, c in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            out[w] = np.array(c.ids, np.int32).tobytes()
+        return [out[w] for w in words]
+
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words; marks behind a letter or digit are a token run of their own."""
         split = []
@@ -76,21 +94,23 @@ class WordIds:
             text = w.decode("utf-8", "replace")
             core = text.rstrip(MARKS)
             split.append((core, text[len(core):]) if core[-1:].isalnum() and core[-1] != "\u0130" else (text, ""))
-        new = list({x for pair in split for x in pair if x not in self.parts})
-        for x, c in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.parts[x] = np.array(c.ids, np.int32).tobytes()
-        for w, (core, marks) in zip(words, split):
-            ids = np.frombuffer(self.parts[core] + self.parts[marks], np.int32)
-            while self.tokens + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            if self.used == len(self.lens):
-                self.starts, self.lens, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens, self.ends))
-            self.flat[self.tokens:self.tokens + len(ids)] = ids
-            self.starts[self.used], self.lens[self.used] = self.tokens, len(ids)
-            self.ends[self.used] = w.rstrip(b"\"')]").endswith((b".", b"!", b"?"))
-            self.at[w] = self.used
-            self.used += 1
-            self.tokens += len(ids)
+        parts = self.parts
+        new = list({x for pair in split for x in pair if x not in parts})
+        parts.update(zip(new, self._encode_words(new)))
+        packed = [parts[core] + parts[marks] for core, marks in split]
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        lens = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        n, tokens = self.used + len(words), self.tokens + len(ids)
+        while tokens > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n > len(self.lens):
+            self.starts, self.lens, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens, self.ends))
+        self.flat[self.tokens:tokens] = ids
+        self.starts[self.used:n] = self.tokens + np.cumsum(lens) - lens
+        self.lens[self.used:n] = lens
+        self.ends[self.used:n] = [w.rstrip(b"\"')]").endswith((b".", b"!", b"?")) for w in words]
+        self.at.update(zip(words, range(self.used, n)))
+        self.used, self.tokens = n, tokens
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the positions behind its sentence ends."""
