@@ -45,6 +45,8 @@ BLOOM_BITS = 1 << 25
 #: Pairs within groups, per row of the prefix table and besides, that are looked at in one go; behind the first
 #: rounds more, for then most are the same few pairs in many groups, or share too little by their counts.
 PAIRS_PER_ROW, LEAST_PAIRS, LATER_PAIRS = 1, 20_000, 256
+#: Overlaps with the centres of the first rounds, which bound those with each other.
+BOUNDS = ("c0", "c1")
 #: Rounds of stars before that, and rounds with a single centre per group.
 STAR_ROUNDS, SINGLE_CENTRE_ROUNDS = 2, 3
 
@@ -277,7 +279,9 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
     leaves the group, for it has no untested partner there. Groups of a single label are
     done, and of groups with the same members one goes on. Once the pairs left in the groups are
     few beside the rows of the start, all of them go on at once, each from the first of
-    the groups that have both sets, so a pair is formed once. Groups that do not come
+    the groups that have both sets, so a pair is formed once. The overlaps with a group's first
+    centres bound those of its members among each other, so a cluster of near copies is not
+    compared with all that share a passage with it. Groups that do not come
     together in the first rounds have eight times as many centres in each further one.
 
     An overlap is at most the smaller count of shared entries, so a set that shares too little
@@ -286,7 +290,9 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
     spark = sets.sparkSession
     prefix, sets = _prefixes(sets, percent)
     low = (F.col("n") - F.col("own")) * (100 + percent) < F.col("n") * 2 * percent
-    members = materialize(prefix.withColumn("low", low.cast("int")).withColumn("comp", F.col("ent")))
+    unknown = F.lit(None).cast("long")
+    members = materialize(prefix.withColumn("low", low.cast("int")).withColumns({
+        "comp": F.col("ent"), **{c: unknown for c in BOUNDS}}))
     rows = members.count()
     tested = spark.createDataFrame([], "a long, b long")
     links = tested
@@ -312,15 +318,21 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
             members = materialize(members)
             lists = members.groupBy("ent").agg(F.array_sort(F.collect_list("hash")).alias("hs"))
             wide = members.join(lists, "ent")
-            a = wide.select("hash", F.col("ent").alias("a"), *named("a"), F.col("hs").alias("sa"))
-            b = wide.select(F.col("hash").alias("g"), F.col("ent").alias("b"), *named("b"), F.col("hs").alias("sb"))
+            shared = lambda x: [F.col(c).alias(c + x) for c in BOUNDS]
+            a = wide.select("hash", F.col("ent").alias("a"), *named("a"), *shared("a"), F.col("hs").alias("sa"))
+            b = wide.select(F.col("hash").alias("g"), F.col("ent").alias("b"), *named("b"), *shared("b"), F.col("hs").alias("sb"))
             once = F.col("hash") == F.array_min(F.array_intersect("sa", "sb"))
+            # what both share lies in the group's centre, or in one of them outside of it
+            for c in BOUNDS:
+                ours, theirs = F.col(f"{c}a"), F.col(f"{c}b")
+                upper = F.least(ours + F.col("nb") - theirs, theirs + F.col("na") - ours)
+                enough = enough & F.coalesce(upper * (100 + percent) >= (F.col("na") + F.col("nb")) * percent, F.lit(True))
             pairs = a.join(b, (F.col("hash") == F.col("g")) & F.expr("a < b and ca <> cb and la + lb < 2") & enough & once)
         else:
             b = members.select("hash", F.col("ent").alias("b"), *named("b"))
             first = Window.partitionBy("hash").orderBy("low", "own", F.xxhash64("ent", F.lit(turn)), "ent")
             several = 8 ** max(0, turn - SINGLE_CENTRE_ROUNDS + 1)
-            centres = materialize(members.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= several).drop("__r"))
+            centres = materialize(members.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= several).drop("__r", *BOUNDS))
             a = centres.select("hash", F.col("ent").alias("a"), *named("a"))
             pairs = a.join(b, "hash").where("ca <> cb and la + lb < 2").where(enough)
         first, second = F.struct("a", "na", "ca"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("cb").alias("ca"))
@@ -328,8 +340,8 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
             F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"),
             F.col("x.ca").alias("ca"), F.col("y.ca").alias("cb")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs)
-        found = materialize(overlaps(pairs, sets).where(
-            F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "ca", "cb"))
+        counted = materialize(overlaps(pairs, sets))
+        found = counted.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "ca", "cb")
         links = links.union(found.select("a", "b"))
         if last:
             break
@@ -340,8 +352,14 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
         step = near.select(F.col("e").alias("near"), F.col("near").alias("far"))
         label = near.join(step, "near", "left").select("e", F.least("e", "near", "far").alias("new"))
         rest = members.join(centres.select("hash", "ent"), ["hash", "ent"], "left_anti")
-        members = materialize(rest.join(label, F.col("comp") == F.col("e"), "left").select(
-            "hash", "ent", "n", "own", "low", F.least("comp", "new").alias("comp")))
+        rest = rest.join(label, F.col("comp") == F.col("e"), "left").select(
+            "hash", "ent", "n", "own", "low", F.least("comp", "new").alias("comp"), *BOUNDS)
+        if turn < len(BOUNDS) and several == 1:
+            known = counted.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "overlap")
+            rest = rest.join(centres.select("hash", F.col("ent").alias("c")), "hash", "left").join(
+                known, (F.least("c", "ent") == F.col("ka")) & (F.greatest("c", "ent") == F.col("kb")), "left")
+            rest = rest.withColumn(BOUNDS[turn], F.col("overlap")).drop("c", "ka", "kb", "overlap")
+        members = materialize(rest)
         turn += 1
     return components(links).toDF("ent", "comp")
 
