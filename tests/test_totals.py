@@ -9,6 +9,7 @@ from statedit.operators import joins as J
 from statedit.operators import statement as S
 from statedit.operators.comments import activate_comment, add_comment, deactivate_comment
 from statedit.scratch import small_table
+from statedit.sources.survey_views import SurveyViews
 
 OBS = "period int, form string, unit string, ref string, variable string, value string"
 
@@ -92,6 +93,22 @@ def test_section_totals(spark, rows):
     ]
 
 
+def test_sections_of_dealt_lines(spark, rows, plan, tmp_path):
+    """Lines are shuffled once, by submission, and no count holds a task's lines before."""
+    lines = [(1, 0, 10.25), (1, 0, 1.0), (1, 189, 2.5), (2, 60, 4.0), (2, None, 8.0), (None, 60, 3.0), (None, 60, 3.0)]
+    schema = "l_orderkey long, l_partkey long, l_extendedprice double"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    ledger = SurveyViews(spark, str(tmp_path)).chart_ledger()
+    assert rows(ledger.withColumn("amount", F.col("amount").cast("double"))) == [
+        (None, "3220", 6.0), (1, "1000", 11.25), (1, "7993", 2.5), (2, None, 8.0), (2, "3220", 4.0)]
+    out = A.section_totals(ledger, A.INCOME_SECTIONS, result_terms=A.RESULT_TERMS)
+    text = plan(out)
+    assert text.count("Exchange hashpartitioning(seq") == 1 and "REPARTITION_BY_NUM" in text and text.count("Exchange") == 1
+    assert "HashAggregate" not in text[text.index("REPARTITION_BY_NUM"):]
+    result = {r.seq: r.amount for r in out.where("kind = 'result'").collect()}
+    assert {k: float(x) for k, x in result.items()} == {None: 6.0, 1: -2.5, 2: 4.0}
+
+
 def test_distribution(spark):
     rng = random.Random(4)
     data = [(2024, "A", f"u{i}", f"r{i}", "x", str(rng.randint(0, 100))) for i in range(60)] + [(2024, "A", "big", "rb", "x", "1000")]
