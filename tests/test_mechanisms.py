@@ -87,6 +87,16 @@ def test_references_in_one_pass(spark, rows, plan):
         Q.reference_report({"units": units})
 
 
+def test_keys_are_counted_behind_the_shuffle(spark, rows, plan):
+    """No count holds the keys of a task's rows before they are dealt."""
+    units = spark.createDataFrame([(1, "u"), (1, None)], "period long, unit string")
+    receipts = spark.createDataFrame([(1, "x"), (1, "x"), (1, "u"), (None, "u")], "period int, unit string")
+    report = Q.reference_report({"units": units, "receipts": receipts})
+    assert rows(report) == [("receipts", "units", 2)]
+    text = plan(report)
+    assert "Exchange hashpartitioning(i" in text and "HashAggregate" not in text[text.index("REPARTITION_BY_NUM"):]
+
+
 def test_numbers_beyond_the_type(spark, rows):
     df = spark.createDataFrame([(v,) for v in ("12.9", "9223372036854775807", "NaN", "Infinity", "x", None, "1e3")], "v string")
     assert rows(df.select(X.coerce_numeric("v").alias("n"))) == [(None,)] * 4 + [(12,), (1000,), (9223372036854775807,)]
