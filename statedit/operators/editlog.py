@@ -96,7 +96,7 @@ def _state_columns(df: DataFrame, by: Sequence[str], order: Sequence[str], sets:
     A row either sets the cell (``sets``) or fills it only while it is null. So the
     state is the first non-null value since the last setting row. ``__seg`` > 0 tells
     that a setting row has been seen; before that ``__after`` is only a candidate for a
-    cell that came in as null.
+    cell that came in as null. ``__last`` marks the last row of a cell.
     """
     along = Window.partitionBy(*by).orderBy(*order)
     df = df.withColumn("__seg", F.sum(F.col(sets).cast("int")).over(along.rowsBetween(*UPTO)))
@@ -104,7 +104,8 @@ def _state_columns(df: DataFrame, by: Sequence[str], order: Sequence[str], sets:
     df = df.withColumn("__after", F.first(value, ignorenulls=True).over(inside))
     # __seg grows along the order, so this window is already sorted by the one before.
     again = Window.partitionBy(*by).orderBy("__seg", *order)
-    return df.withColumn("__before", F.lag(F.struct("__seg", "__after")).over(again))
+    return df.withColumns({
+        "__before": F.lag(F.struct("__seg", "__after")).over(again), "__last": F.lead(F.lit(True)).over(again).isNull()})
 
 
 def _carry(state: Column, local_set: Column, local: Column) -> Column:
@@ -154,11 +155,8 @@ def replay_log(
     # The log is used by every step below and is small beside the base: work it out once.
     steps = materialize(_state_columns(typed, [*cell, "chunk"], ["t", "pos"], "sets", "new"))
 
-    last = F.max_by(F.struct((F.col("__seg") > 0).alias("s"), F.col("__after").alias("v")), F.struct("t", "pos"))
-    chunks = steps.groupBy(*cell, "chunk").agg(last.alias("__c")).select(
-        *cell, "chunk", F.col("__c.s").alias("s"), F.col("__c.v").alias("v")
-    )
-    folded = _state_columns(chunks, cell, ["chunk"], "s", "v")
+    chunks = steps.where("__last").select(*cell, "chunk", (F.col("__seg") > 0).alias("s"), F.col("__after").alias("v"))
+    folded = materialize(_state_columns(chunks, cell, ["chunk"], "s", "v"))
     final = folded.groupBy(*cell).agg(
         F.max_by(F.struct((F.col("__seg") > 0).alias("s"), F.col("__after").alias("v")), "chunk").alias("__f")
     )

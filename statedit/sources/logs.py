@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.editlog import LOG_SCHEMA, TARGET_PLACEHOLDER, apply_log
-from .ordered import read_json_arrays, read_pieces, running
+from .ordered import numbered, read_json_arrays, read_pieces, running
 from .tables import path_exists
 
 # Folder names of the data states.
@@ -60,12 +60,12 @@ def read_change_log(spark: SparkSession, path: str) -> DataFrame:
         rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
         return rows.withColumn("seq", F.coalesce("seq", F.lit(0)))
     if first.startswith("["):
-        texts = read_json_arrays(spark, path).select("file", F.lit(0).alias("block"), F.col("no").alias("pos"), "value")
+        elements = read_json_arrays(spark, path).select("file", F.lit(0).alias("block"), F.col("no").alias("pos"), "value")
+        texts = running(elements, F.lit(1), "__no", per_file=False)
     else:
-        texts = read_pieces(spark, path).where(F.trim("value") != "")
-    numbered = running(texts, F.lit(1), "__no", per_file=False)
+        texts = numbered(read_pieces(spark, path, blank=False), "__no")
     row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return numbered.select("__no", row.alias("r")).select("r.*", "__no").withColumn("seq", F.coalesce("seq", "__no")).drop("__no")
+    return texts.select("__no", row.alias("r")).select("r.*", "__no").withColumn("seq", F.coalesce("seq", "__no")).drop("__no")
 
 
 def write_change_log(log: DataFrame, path: str, mode: str = "append") -> None:

@@ -11,18 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..scratch import materialize
+from ..scratch import materialize, settle
 
 PLACE = ["file", "block", "pos"]
 
 
-def read_pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """(file, block, pos, value) of the text at ``path``, cut at line ends or at ``separator``. Stored at once."""
+def read_pieces(spark: SparkSession, path: str, separator: str | None = None, blank: bool = True) -> DataFrame:
+    """(file, block, pos, value) of the text at ``path``, cut at line ends or at ``separator``. Stored at once.
+
+    Within a block ``pos`` goes up by one. Without ``blank``, blank pieces are left out.
+    """
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
     meta = F.col("_metadata")
-    rows = reader.text(path).select(
-        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
-    return materialize(rows)
+    rows = reader.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"))
+    rows = rows if blank else rows.where(F.trim("value") != "")
+    return materialize(rows.select("file", "block", F.monotonically_increasing_id().alias("pos"), "value"))
+
+
+def numbered(pieces: DataFrame, name: str) -> DataFrame:
+    """``pieces`` as ``read_pieces`` stored them, all of them, numbered from 0 over all files.
+
+    The texts stay where they are: only one row per block is shuffled.
+    """
+    blocks = pieces.groupBy("file", "block").agg(F.count("*").alias("__s"), F.min("pos").alias("__first"))
+    over = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(blocks.select("file", "block", (F.coalesce(F.sum("__s").over(over), F.lit(0)) - F.col("__first")).alias("__o")))
+    return pieces.join(offsets, ["file", "block"]).withColumn(name, F.col("pos") + F.col("__o")).drop("__o")
 
 
 def running(pieces: DataFrame, amount: Column, name: str, per_file: bool = True) -> DataFrame:
