@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NEAR_PERCENT, SHINGLE_WORDS, materialize, shingle_hashes, table, texts_of
+from .common import NEAR_PERCENT, SHINGLE_WORDS, materialize, shingle_hashes, small_batches, table, texts_of
 from .components import components
 
 #: Lowest part of a set, in the order of hashes, that the filter looks at.
 FILTER_PERCENT = 40
 #: Entries of a fragment of the filter, and fragments at least; leading bits of a hash that name the fragment when
 #: overlaps are counted.
-FRAGMENT_ENTRIES, LEAST_FRAGMENTS, OVERLAP_BITS = 1_500_000, 64, 2
-#: Entries that a task gathers before it sends them on.
-TASK_ENTRIES = 1_500_000
+FRAGMENT_ENTRIES, LEAST_FRAGMENTS, OVERLAP_BITS = 1_000_000, 64, 2
+#: Entries that a task gathers before it sends them on, and of those that it places in one go.
+TASK_ENTRIES, STEP_ENTRIES = 1_000_000, 1 << 16
 #: Bits of the Bloom filter that spares the second read documents without a partner. Its
 #: size is fixed; what it lets through by chance is removed by an exact join.
 BLOOM_BITS = 1 << 25
@@ -76,13 +76,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 
 def shingle_sets(docs: DataFrame, words: int, with_sets: bool, keep=None) -> DataFrame:
-    """Per row its key, the size, digest and 64-bit entity of its set, and the sorted set."""
+    """Per row its key, the size, digest and 64-bit entity of its set, and the sorted set.
+
+    ``keep`` tells from a batch which of its rows are wanted; it is asked here, so that a task has one worker.
+    """
     schema = "doc_id long, n long, ent long, digest binary" + (", hashes array<long>" if with_sets else "")
 
     def run(batches):
         for batch in _slices(batches):
             if keep is not None:
-                batch = batch.filter(pa.array(keep(batch.column(0))))
+                batch = batch.filter(pa.array(keep(batch)))
                 if not batch.num_rows:
                     continue
             sets = list(_sets(texts_of(batch.column(1)), words))
@@ -129,7 +132,8 @@ def _fragments(docs: DataFrame, words: int, percent: int, filter_percent: int, f
         h = np.concatenate(parts)
         parts.clear()
         order = np.argsort(h, kind="stable").astype(np.int32)
-        h, doc = h[order], doc[order]
+        h = h[order]
+        doc = doc[order]
         del order
         new = np.concatenate(([True], h[1:] != h[:-1]))
         single = new & np.concatenate((new[1:], [True]))
@@ -142,15 +146,14 @@ def _fragments(docs: DataFrame, words: int, percent: int, filter_percent: int, f
         h, doc = h[new], doc[new]
         del new, single
         ents = np.append(ents, 0)
-        where = place(h).astype(np.int32)
-        order = np.lexsort((doc, where))
-        h, doc, where = h[order], doc[order], where[order]
-        del order
+        # entries ascend, and so do their fragments: each is put in the order of its documents by itself
+        where = np.concatenate([place(h[i:i + STEP_ENTRIES]).astype(np.int32) for i in range(0, len(h), STEP_ENTRIES)])
         cut = np.flatnonzero(np.diff(where)) + 1
         for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(h)]))):
             if a < b:
+                order = np.argsort(doc[a:b], kind="stable")
                 ids, counts = np.unique(doc[a:b], return_counts=True)
-                yield int(where[a]), h[a:b].tobytes(), np.stack((ents[ids], counts)).T.tobytes()
+                yield int(where[a]), h[a:b][order].tobytes(), np.stack((ents[ids], counts)).T.tobytes()
 
     def rows(batches):
         entities: list[int] = []
@@ -374,6 +377,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     id that is not null. Repeated rows count once. Further columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = materialize(shingle_sets(docs, words, False))
     classes = rows.where("n > 0").groupBy("digest", "ent").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -388,13 +392,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     positions, test = _bloom(spark, alive.where("doc_id is not null"))
     again = docs.select("doc_id", "text", *(p.alias(f"p{i}") for i, p in enumerate(positions)))
 
-    def kept(batches):
-        for batch in batches:
-            ok = test(batch.column(2), batch.column(3)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array(ok))
+    def keep(batch):
+        return test(batch.column(2), batch.column(3)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
 
-    few = again.mapInArrow(kept, "doc_id long, text string")
-    sets = shingle_sets(few, words, True).where("n > 0").join(alive.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = shingle_sets(again, words, True, keep).where("n > 0").join(alive.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     comp = linked_components(materialize(sets.select("ent", "n", "hashes")), percent)
 
     labelled = rows.join(comp, "ent", "left").select(

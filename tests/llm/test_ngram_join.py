@@ -1,5 +1,9 @@
 import itertools
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from statedit.llm import ngram_join as N
 from statedit.llm.components import components
@@ -102,3 +106,36 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20} | {100 + i: 100 for i in range(41)}
     assert got == want
+
+
+class Caught:
+    """Stands for a DataFrame and gives the function that its tasks run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_task_of_the_filter_is_small():
+    """Entries of the filter are dealt to fragments without whole copies beside them."""
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.random())[2:8] for _ in range(2000)) for _ in range(600)]
+    batch = pa.record_batch({"doc_id": pa.array(range(600)), "text": texts})
+    run = N._fragments(Caught(), 5, 80, 40, 64)
+    entries, runs = 0, 0
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        for fragment, h, packed in zip(*(c.to_pylist() for c in out.columns)):
+            if fragment is not None:
+                h, pairs = np.frombuffer(h, np.uint64), np.frombuffer(packed, np.int64).reshape(-1, 2)
+                assert pairs[:, 1].sum() == len(h)
+                entries, runs = entries + len(h), runs + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 450_000 < entries < 500_000 and runs >= 40
+    assert peak < 35 * entries, peak / entries
+
+
+def test_unwanted_rows_are_dropped_by_the_worker_that_hashes():
+    batch = pa.record_batch({"doc_id": pa.array([1, None, 3]), "text": ["a b", "c d", "e"], "p": pa.array([0, 1, 1])})
+    run = N.shingle_sets(Caught(), 5, True, lambda b: b.column(2).to_numpy() == 1)
+    assert [r["doc_id"] for out in run(iter([batch])) for r in out.to_pylist()] == [None, 3]
