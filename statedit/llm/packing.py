@@ -15,6 +15,7 @@ of a block are opened again with the next one.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -41,6 +42,12 @@ STAGE_CACHE_WORDS = 250_000
 #: Marks at the end of a word; the tokenizer always parts them from a letter or digit. (Not so
 #: behind U+0130, whose lower case ends in a combining mark.)
 MARKS = ".,;:!?*#%&$|"
+#: Bytes of texts whose words are looked up together.
+GROUP_BYTES = 1 << 20
+#: Lower-case Latin letters beyond ASCII as the tokenizer's model has them: a letter for each byte of UTF-8, by GPT-2's table.
+NOT_ASCII = re.compile("[^\0-\x7f]")
+_BYTES = {b: chr(256 + i) for i, b in enumerate((*range(0x21), *range(0x7F, 0xA1), 0xAD))}
+BYTE_LETTERS = {chr(c): "".join(_BYTES.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x80, 0x3000)}
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "ids array<int>")
@@ -55,6 +62,7 @@ class WordIds:
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +70,17 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # the same model behind a split at spaces, for words that the file's rules leave whole; kept only if it agrees
+        self.latin = None
         self.clear()
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130"]
+        probe = ["".join(letters[i:i + n]).lower() for n in (1, 2, 5) for i in range(len(letters))]
+        if self.word_end.any():
+            want = self._encode_latin(probe)
+            self.latin = Tokenizer(self.tokenizer.model)
+            self.latin.pre_tokenizer = WhitespaceSplit()
+            if want is None or self._encode_latin(probe) != want:
+                self.latin = None
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
@@ -72,32 +90,47 @@ class WordIds:
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ends = np.zeros(1 << 14, bool)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of each word. Words of Latin letters go through as one text: the last token of each ends it."""
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w]
-        out: dict[str, bytes] = {}
-        if plain and self.word_end.any():
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.int32)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(plain) and ends[-1] == len(ids):
-                packed, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
-                out = {w: packed[i:j] for w, i, j in zip(plain, cut, cut[1:])}
+    def _encode_latin(self, words: list[str]) -> list[bytes] | None:
+        """Packed ids of words of Latin letters, which go through as one text: the last token of each ends it."""
+        text = " ".join(words)
+        if self.latin is not None:
+            text = text.lower()
+            if not text.isascii():
+                text = NOT_ASCII.sub(lambda m: BYTE_LETTERS[m[0]], text)
+            words_of = text.split(" ")
+            texts = [" ".join(words_of[i:i + 64]) for i in range(0, len(words_of), 64)]
+            ids = [x for c in self.latin.encode_batch_fast(texts, add_special_tokens=False) for x in c.ids]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = np.array(ids, np.int32)
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return None
+        packed, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [packed[i:j] for i, j in zip(cut, cut[1:])]
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of each word."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)]
+        known = self._encode_latin(plain) if plain and self.word_end.any() else None
+        out = dict(zip(plain, known)) if known else {}
         rest = [w for w in words if w not in out]
         for w, c in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
             out[w] = np.array(c.ids, np.int32).tobytes()
-        return [out[w] for w in words]
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words; marks behind a letter or digit are a token run of their own."""
-        split = []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(MARKS)
-            split.append((core, text[len(core):]) if core[-1:].isalnum() and core[-1] != "\u0130" else (text, ""))
+        cores = b" ".join(words).decode("utf-8", "replace").split(" ")
+        marks = [""] * len(cores)
+        for i, text in enumerate(cores):
+            if text[-1] in MARKS:
+                core = text.rstrip(MARKS)
+                if core[-1:].isalnum() and core[-1] != "\u0130":
+                    cores[i], marks[i] = core, text[len(core):]
         parts = self.parts
-        new = list({x for pair in split for x in pair if x not in parts})
-        parts.update(zip(new, self._encode_words(new)))
-        packed = [parts[core] + parts[marks] for core, marks in split]
+        parts.update(self._encode_words(list({*cores, *marks}.difference(parts))))
+        packed = [parts[core] + parts[tail] if tail else parts[core] for core, tail in zip(cores, marks)]
         ids = np.frombuffer(b"".join(packed), np.int32)
         lens = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         n, tokens = self.used + len(words), self.tokens + len(ids)
@@ -112,25 +145,50 @@ class WordIds:
         self.at.update(zip(words, range(self.used, n)))
         self.used, self.tokens = n, tokens
 
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Number of each word; each different one is looked up once."""
+        codes = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))  # codes ascend by first occurrence
+        distinct = [words[i] for i in first.tolist()]
+        get = self.at.get
+        found = np.array([get(w, -1) for w in distinct])
+        if (found < 0).any() and self.used > self.cache_words:
+            self.clear()
+            found[:] = -1
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self._learn([distinct[i] for i in new.tolist()])
+            found[new] = np.arange(self.used - len(new), self.used)
+        return found[codes]
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text its ids, and the positions behind its sentence ends. Words of several texts are looked up together."""
+        at = 0
+        while at < len(texts):
+            words, counts, size = [], [], 0
+            while at < len(texts) and (not counts or size + len(texts[at]) <= GROUP_BYTES):
+                text = texts[at]
+                own = (text if b"<|" in text else text.lower()).split()  # names of special tokens have their case
+                words += own
+                counts.append(len(own))
+                size += len(text)
+                at += 1
+            if not words:
+                yield from ((np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in counts)
+                continue
+            k = self._numbers(words)
+            lens = self.lens[k]
+            behind = np.cumsum(lens)
+            source = np.repeat(self.starts[k] - behind + lens, lens) + np.arange(behind[-1])
+            ids, ends = self.flat[source], self.ends[k]
+            stops = np.cumsum(counts)
+            cuts = np.concatenate(([0], behind))[np.concatenate(([0], stops))].tolist()
+            for i, j, low, high in zip([0, *stops.tolist()], stops.tolist(), cuts, cuts[1:]):
+                yield ids[low:high], behind[i:j][ends[i:j]] - low
+
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the positions behind its sentence ends."""
-        words = (text if b"<|" in text else text.lower()).split()  # names of special tokens have their case
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        at = self.at
-        try:
-            found = [at[w] for w in words]
-        except KeyError:
-            if self.used > self.cache_words:
-                self.clear()
-                at = self.at
-            self._learn(list(set(words).difference(at)))
-            found = [at[w] for w in words]
-        k = np.array(found)
-        lens = self.lens[k]
-        behind = np.cumsum(lens)
-        source = np.repeat(self.starts[k] - behind + lens, lens) + np.arange(behind[-1])
-        return self.flat[source], behind[self.ends[k]]
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -145,14 +203,18 @@ def cut(pos: np.ndarray, pen: np.ndarray, size: int) -> list[int]:
     ``size``; ``pen`` the cost of cutting there. Of equal costs the longer window wins.
     """
     n = len(pos)
-    exact: dict[int, list[int]] = {}
+    ends, froms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     power = 1
     while power < size:
         i = np.searchsorted(pos, pos - power)
         hit = np.flatnonzero((pos[np.minimum(i, n - 1)] == pos - power) & (pos - power >= pos[0]))
-        for j, k in zip(hit.tolist(), i[hit].tolist()):
-            exact.setdefault(j, []).append(k)
+        ends.append(hit)
+        froms.append(i[hit])
         power *= 2
+    ends = np.concatenate(ends)
+    order = np.argsort(ends, kind="stable")
+    ends, froms = [*ends[order].tolist(), n], np.concatenate(froms)[order].tolist()
+    at = 0
     p, pen = pos.tolist(), pen.tolist()
     f, back, g = [0.0] * n, [0] * n, [0.0] * n
     g[0] = p[0]
@@ -164,7 +226,9 @@ def cut(pos: np.ndarray, pen: np.ndarray, size: int) -> list[int]:
             queue.popleft()
         i = queue[0]
         best = g[i] + size - x
-        for k in exact.get(j, ()):
+        while ends[at] == j:
+            k = froms[at]
+            at += 1
             other = f[k] + SHORT
             if other < best:
                 best, i = other, k
@@ -282,8 +346,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, key: str = "doc_id",
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
-                for doc_id, data in zip(ids[at:at + 256], texts_of(texts.slice(at, 256))):
-                    packer.add(doc_id, *words.encode(data))
+                for doc_id, coded in zip(ids[at:at + 256], words.encode_all(texts_of(texts.slice(at, 256)))):
+                    packer.add(doc_id, *coded)
                     if packer.tokens >= block_tokens:
                         yield from rows(packer.flush(False))
         yield from rows(packer.flush(True))

@@ -78,3 +78,24 @@ def test_word_cache_equals_the_tokenizer():
     for _ in range(300):
         text = "".join(rng.choice(pool) + rng.choice([" ", "\n", "\x0b ", ""]) for _ in range(rng.randint(1, 12)))
         assert words.encode(text.encode())[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_of_many_texts_are_learned_together(monkeypatch):
+    """Texts of a group ask the tokenizer once, and Latin letters of any kind get its ids."""
+    t = Tokenizer.from_file(P.vocabulary())
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", ".", "!?"]) for _ in range(40)) for _ in range(60)]
+    texts += ["", "  ", "<|endoftext|> ÀÉ Çé"]
+    words, asked = P.WordIds(P.vocabulary()), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (asked.append(len(new)), learn(new)))
+    got = list(words.encode_all([x.encode() for x in texts]))
+    assert len(asked) == 1
+    for text, (ids, ends) in zip(texts, got):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    one = P.WordIds(P.vocabulary())
+    assert all(np.array_equal(a, b) for text, pair in zip(texts, got) for a, b in zip(pair, one.encode(text.encode())))
+    small = P.WordIds(P.vocabulary(), cache_words=50)  # forgets words between the groups
+    monkeypatch.setattr(P, "GROUP_BYTES", 1)
+    assert all(np.array_equal(a, b) for x, y in zip(got, small.encode_all([x.encode() for x in texts])) for a, b in zip(x, y))
