@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, table
+from .common import crc_of_id, small_batches, table
 
 #: The sample that a dictionary is made of: at most so many different texts of a language,
 #: and so many leading characters of each. Only the dictionaries are bounded; prediction
@@ -127,6 +127,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go; columns stay as they are."""
+    small_batches(spark)
     dictionaries = fit_dictionaries(docs.where(~held_out()))
     name = "__judged"
     while name in docs.columns:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import small_batches, table, texts_of
 
 SIZE = 4096
 END_ID = 2
@@ -368,4 +368,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the pieces of the sequences."""
+    small_batches(spark)
     return pack(docs, vocabulary(), with_ids=False, cache_words=STAGE_CACHE_WORDS)

@@ -92,3 +92,16 @@ def test_every_stage_returns_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert ngram_join.stage(spark, docs.union(docs), str(tmp_path)).count() == ngram_join.stage(spark, docs, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("stage", [language_id.stage, ngram_join.stage, packing.stage])
+def test_stages_hand_few_rows_at_once_to_python(spark, stage):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "a b c", "aa", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    for before, after in ((10_000, 1000), (0, 1000), (200, 200)):
+        spark.conf.set(name, before)
+        try:
+            stage(spark, docs, "")
+            assert int(spark.conf.get(name)) == after
+        finally:
+            spark.conf.unset(name)
