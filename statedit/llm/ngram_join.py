@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NEAR_PERCENT, SHINGLE_WORDS, materialize, shingle_hashes, small_batches, table, texts_of
@@ -45,8 +45,8 @@ BLOOM_BITS = 1 << 25
 #: Pairs within groups, per row of the prefix table and besides, that are looked at in one go; behind the first
 #: rounds more, for then most are the same few pairs in many groups, or share too little by their counts.
 PAIRS_PER_ROW, LEAST_PAIRS, LATER_PAIRS = 1, 20_000, 256
-#: Overlaps with the centres of the first rounds, which bound those with each other.
-BOUNDS = ("c0", "c1")
+#: Parity bits per entry of a set, and of a set at most.
+PARITY_BITS, MOST_PARITY_BITS = 8, 1 << 14
 #: Rounds of stars before that, and rounds with a single centre per group.
 STAR_ROUNDS, SINGLE_CENTRE_ROUNDS = 2, 3
 
@@ -75,12 +75,33 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Of each of a power of two intervals of the low bits whether the set has an odd number of entries there, 64 in a word.
+
+    Where two sets differ in a bit at least one entry is in one of them alone, so the differing
+    bits are at most as many as such entries. The second half folded on the first is the
+    parity of half as many intervals.
+    """
+    bits = min(MOST_PARITY_BITS, 1 << max(6, int(PARITY_BITS * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Differing bits of two parities whose widths are one step apart at most; 0 where they are further apart."""
+    half = lambda x: (F.size(x) / 2).cast("int")
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), xor)
+    small = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
+    return F.coalesce(F.aggregate(F.zip_with(small(a, b), small(b, a), xor), F.lit(0), lambda n, x: n + F.bit_count(x)), F.lit(0))
+
+
 def shingle_sets(docs: DataFrame, words: int, with_sets: bool, keep=None) -> DataFrame:
-    """Per row its key, the size, digest and 64-bit entity of its set, and the sorted set.
+    """Per row its key, the size, digest and 64-bit entity of its set, and the sorted set with its parity.
 
     ``keep`` tells from a batch which of its rows are wanted; it is asked here, so that a task has one worker.
     """
-    schema = "doc_id long, n long, ent long, digest binary" + (", hashes array<long>" if with_sets else "")
+    schema = "doc_id long, n long, ent long, digest binary" + (", hashes array<long>, parity array<long>" if with_sets else "")
 
     def run(batches):
         for batch in _slices(batches):
@@ -95,7 +116,9 @@ def shingle_sets(docs: DataFrame, words: int, with_sets: bool, keep=None) -> Dat
             if with_sets:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 columns.append(_lists(flat, np.array([len(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "ent", "digest", "hashes"][:len(columns)])
+                parities = [_parity(s) for s in sets]
+                columns.append(_lists(np.concatenate(parities), np.array([len(p) for p in parities])))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "ent", "digest", "hashes", "parity"][:len(columns)])
 
     return docs.mapInArrow(run, schema)
 
@@ -274,7 +297,7 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame:
-    """(ent, comp) of all sets (ent, n, hashes) that are linked with another one.
+    """(ent, comp) of all sets (ent, n, hashes, parity) that are linked with another one.
 
     A round compares the centre of each group of a prefix shingle with the group's other
     members; the centre is the set with the fewest entries of its own, as an original among
@@ -282,20 +305,19 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
     leaves the group, for it has no untested partner there. Groups of a single label are
     done, and of groups with the same members one goes on. Once the pairs left in the groups are
     few beside the rows of the start, all of them go on at once, each from the first of
-    the groups that have both sets, so a pair is formed once. The overlaps with a group's first
-    centres bound those of its members among each other, so a cluster of near copies is not
-    compared with all that share a passage with it. Groups that do not come
-    together in the first rounds have eight times as many centres in each further one.
+    the groups that have both sets, so a pair is formed once. The parities of two sets bound
+    their overlap, so of members that are alike but do not link hardly a pair is counted.
+    Groups that do not come together in the first rounds have eight times as many centres in
+    each further one.
 
     An overlap is at most the smaller count of shared entries, so a set that shares too little
     of itself (``low``) cannot link with another such set: of those no pairs are formed.
     """
     spark = sets.sparkSession
+    parities = sets.select("ent", "parity")
     prefix, sets = _prefixes(sets, percent)
     low = (F.col("n") - F.col("own")) * (100 + percent) < F.col("n") * 2 * percent
-    unknown = F.lit(None).cast("long")
-    members = materialize(prefix.withColumn("low", low.cast("int")).withColumns({
-        "comp": F.col("ent"), **{c: unknown for c in BOUNDS}}))
+    members = materialize(prefix.withColumn("low", low.cast("int")).withColumn("comp", F.col("ent")))
     rows = members.count()
     tested = spark.createDataFrame([], "a long, b long")
     links = tested
@@ -316,28 +338,25 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
         named = lambda x: [F.col(c).alias(c[0] + x) for c in ("own", "n", "comp", "low")]
         most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
         enough = most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+        both = F.col("na") + F.col("nb")
+        alike = (both - _differing(F.col("pa"), F.col("pb"))) * (100 + percent) >= both * 2 * percent
         last = left <= PAIRS_PER_ROW * (1 if turn < STAR_ROUNDS else LATER_PAIRS) * rows + LEAST_PAIRS
         if last:
             members = materialize(members)
             lists = members.groupBy("ent").agg(F.array_sort(F.collect_list("hash")).alias("hs"))
-            wide = members.join(lists, "ent")
-            shared = lambda x: [F.col(c).alias(c + x) for c in BOUNDS]
-            a = wide.select("hash", F.col("ent").alias("a"), *named("a"), *shared("a"), F.col("hs").alias("sa"))
-            b = wide.select(F.col("hash").alias("g"), F.col("ent").alias("b"), *named("b"), *shared("b"), F.col("hs").alias("sb"))
+            wide = members.join(lists.join(parities, "ent"), "ent")
+            a = wide.select("hash", F.col("ent").alias("a"), *named("a"), F.col("hs").alias("sa"), F.col("parity").alias("pa"))
+            b = wide.select(F.col("hash").alias("g"), F.col("ent").alias("b"), *named("b"), F.col("hs").alias("sb"), F.col("parity").alias("pb"))
             once = F.col("hash") == F.array_min(F.array_intersect("sa", "sb"))
-            # what both share lies in the group's centre, or in one of them outside of it
-            for c in BOUNDS:
-                ours, theirs = F.col(f"{c}a"), F.col(f"{c}b")
-                upper = F.least(ours + F.col("nb") - theirs, theirs + F.col("na") - ours)
-                enough = enough & F.coalesce(upper * (100 + percent) >= (F.col("na") + F.col("nb")) * percent, F.lit(True))
-            pairs = a.join(b, (F.col("hash") == F.col("g")) & F.expr("a < b and ca <> cb and la + lb < 2") & enough & once)
+            pairs = a.join(b, (F.col("hash") == F.col("g")) & F.expr("a < b and ca <> cb and la + lb < 2") & enough & alike & once)
         else:
-            b = members.select("hash", F.col("ent").alias("b"), *named("b"))
             first = Window.partitionBy("hash").orderBy("low", "own", F.xxhash64("ent", F.lit(turn)), "ent")
             several = 8 ** max(0, turn - SINGLE_CENTRE_ROUNDS + 1)
-            centres = materialize(members.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= several).drop("__r", *BOUNDS))
-            a = centres.select("hash", F.col("ent").alias("a"), *named("a"))
-            pairs = a.join(b, "hash").where("ca <> cb and la + lb < 2").where(enough)
+            centres = materialize(members.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= several).drop("__r"))
+            wide = lambda x: x.join(parities, "ent") if several > 1 else x.withColumn("parity", F.lit(None))
+            a = wide(centres).select("hash", F.col("ent").alias("a"), *named("a"), F.col("parity").alias("pa"))
+            b = wide(members).select("hash", F.col("ent").alias("b"), *named("b"), F.col("parity").alias("pb"))
+            pairs = a.join(b, "hash").where("ca <> cb and la + lb < 2").where(enough & alike if several > 1 else enough)
         first, second = F.struct("a", "na", "ca"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("cb").alias("ca"))
         pairs = pairs.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).select(
             F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"),
@@ -356,12 +375,7 @@ def linked_components(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame
         label = near.join(step, "near", "left").select("e", F.least("e", "near", "far").alias("new"))
         rest = members.join(centres.select("hash", "ent"), ["hash", "ent"], "left_anti")
         rest = rest.join(label, F.col("comp") == F.col("e"), "left").select(
-            "hash", "ent", "n", "own", "low", F.least("comp", "new").alias("comp"), *BOUNDS)
-        if turn < len(BOUNDS) and several == 1:
-            known = counted.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "overlap")
-            rest = rest.join(centres.select("hash", F.col("ent").alias("c")), "hash", "left").join(
-                known, (F.least("c", "ent") == F.col("ka")) & (F.greatest("c", "ent") == F.col("kb")), "left")
-            rest = rest.withColumn(BOUNDS[turn], F.col("overlap")).drop("c", "ka", "kb", "overlap")
+            "hash", "ent", "n", "own", "low", F.least("comp", "new").alias("comp"))
         members = materialize(rest)
         turn += 1
     return components(links).toDF("ent", "comp")
@@ -396,7 +410,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
         return test(batch.column(2), batch.column(3)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
 
     sets = shingle_sets(again, words, True, keep).where("n > 0").join(alive.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    comp = linked_components(materialize(sets.select("ent", "n", "hashes")), percent)
+    comp = linked_components(materialize(sets.select("ent", "n", "hashes", "parity")), percent)
 
     labelled = rows.join(comp, "ent", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "ent")).alias("label"))

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from statedit.llm import ngram_join as N
 from statedit.llm.components import components
@@ -101,6 +102,50 @@ def test_groups_of_unlinked_members(spark, monkeypatch):
     assert sorted(tuple(r) for r in N.near_classes(df).collect()) == brute(docs)
 
 
+def test_members_that_are_alike_but_do_not_link_are_not_counted(spark, monkeypatch):
+    """Copies of one text, each edited so much that hardly two of them link: their sets do not meet pair by pair."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for k in range(80):
+        copy = list(base)
+        for i in rng.sample(range(150), 5):
+            copy[i] = f"e{k}.{i}"
+        docs.append((k, " ".join(copy)))
+    overlaps, made = N.overlaps, []
+    monkeypatch.setattr(N, "overlaps", lambda pairs, *rest: made.append(pairs.count()) or overlaps(pairs, *rest))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    for per_row, least, single in ((N.PAIRS_PER_ROW, N.LEAST_PAIRS, N.SINGLE_CENTRE_ROUNDS), (0, 5, 1)):
+        monkeypatch.setattr(N, "PAIRS_PER_ROW", per_row)
+        monkeypatch.setattr(N, "LEAST_PAIRS", least)
+        monkeypatch.setattr(N, "SINGLE_CENTRE_ROUNDS", single)
+        made.clear()
+        assert sorted(tuple(r) for r in N.near_classes(df).collect()) == want
+        assert sum(made) < 600, made  # of 3160 pairs
+
+
+def test_differing_bits_are_a_lower_bound(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for n, keep in ((0, 0), (1, 1), (60, 60), (60, 55), (70, 60), (300, 0), (300, 270), (3000, 2900), (40_000, 36_000)):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate((a[:keep], rng.integers(0, 1 << 64, n // 20, np.uint64))))
+        rows.append((_ints(N._parity(a)), _ints(N._parity(b))))
+        want.append(len(np.setxor1d(a, b)) if len(a) * 8 <= len(b) * 10 and len(b) * 8 <= len(a) * 10 else None)
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").coalesce(1)
+    assert len(rows[3][0]) == len(rows[3][1]) == 8 and len(rows[4][0]) == 16 > len(rows[2][0])
+    for r, most in zip(df.select(N._differing(F.col("a"), F.col("b")), N._differing(F.col("b"), F.col("a"))).collect(), want):
+        assert r[0] == r[1]
+        assert most is None or 0.6 * most <= r[0] <= most
+    wide, narrow = _ints(N._parity(np.arange(70, dtype=np.uint64))), _ints(N._parity(np.arange(60, dtype=np.uint64)))
+    assert spark.createDataFrame([(wide, narrow)], "a array<long>, b array<long>").select(N._differing(F.col("a"), F.col("b"))).first()[0] == 10
+
+
+def _ints(x):
+    return [int(i) for i in x]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 8), (7, 9), (5, 1), (20, 21), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
